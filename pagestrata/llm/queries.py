@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import tokens
+from pagestrata.llm import near, quality, tokens
 from pagestrata.runtime import table
 
 
@@ -14,5 +14,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), tokens.vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.found(table(spark, sf_dir, "page_data"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
