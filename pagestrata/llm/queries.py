@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.llm import near, quality, residue, tokens
+from pagestrata.llm import maincontent, near, quality, residue, tokens
 from pagestrata.runtime import table
 
 
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.found(table(spark, sf_dir, "page_data"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maincontent.found(table(spark, sf_dir, "page_data"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.found(table(spark, sf_dir, "page_data"))
 
@@ -26,5 +30,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
