@@ -144,19 +144,21 @@ def merged_ids(word: Column, vocab: Vocabulary) -> Column:
     return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda state: state["ids"])
 
 
-def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, ids ARRAY<INT>) of every row, without special tokens.
+def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, ids ARRAY<INT>, and the columns in keep) of every row, without special tokens.
 
     Null and empty texts give an empty list. Ids may be null or repeat: rows are kept apart by a key of
-    their own, and every input row gives one output row. Other columns are ignored. An empty table gives
+    their own, and every input row gives one output row. Columns not in keep are ignored. An empty table gives
     an empty result. Texts of any length are encoded whole.
     """
-    words = documents.select(F.col(id_column).alias("__id"), F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(SPLIT), F.lit(0)).alias("__words"))
-    words = words.select("__id", "__words", F.transform("__words", vocab.id_of_word).alias("__known"))
-    words = words.select("__id", "__words", "__known", F.array_distinct(F.filter("__words", lambda w, i: F.get(F.col("__known"), i).isNull())).alias("__rare"))
+    kept = keep or []
+    words = documents.select(*kept, F.col(id_column).alias("__id"), F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(SPLIT), F.lit(0)).alias("__words"))
+    words = words.select(*kept, "__id", "__words", F.transform("__words", vocab.id_of_word).alias("__known"))
+    words = words.select(*kept, "__id", "__words", "__known", F.array_distinct(F.filter("__words", lambda w, i: F.get(F.col("__known"), i).isNull())).alias("__rare"))
     coded = words.select(
         F.monotonically_increasing_id().alias("__row"),
         "__id",
+        *kept,
         F.transform("__known", lambda c, i: F.coalesce(c, -F.array_position(F.col("__rare"), F.get(F.col("__words"), i)).cast("int"))).alias("__codes"),
         "__rare",
     )
@@ -170,9 +172,10 @@ def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc
         .agg(F.array_sort(F.collect_list(F.struct("__at", "__ids"))).alias("__spelled"))
         .select("__row", F.col("__spelled.__ids").alias("__spelled"))
     )
-    return coded.select("__row", "__id", "__codes").join(found, "__row", "left").select(
+    return coded.select("__row", "__id", *kept, "__codes").join(found, "__row", "left").select(
         F.col("__id").alias(id_column),
         F.flatten(F.transform("__codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("__spelled"), -c - 1)))).alias("ids"),
+        *kept,
     )
 
 
