@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagestrata.plans import link_queries
+
 FLAGSHIP = "health_score"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**link_queries.QUERIES}
+ORACLE: dict[str, str] = {**link_queries.ORACLE}
