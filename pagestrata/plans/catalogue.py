@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagestrata.plans import link_queries
+from pagestrata.plans import audit_queries, audit_sql, link_queries
 
 FLAGSHIP = "health_score"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**link_queries.QUERIES}
-ORACLE: dict[str, str] = {**link_queries.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audit_queries.QUERIES, **link_queries.QUERIES}
+ORACLE: dict[str, str] = {**audit_sql.ORACLE, **link_queries.ORACLE}
