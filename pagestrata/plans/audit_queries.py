@@ -100,7 +100,7 @@ def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of warnings about the shop section of crawl 1."""
     p, found = issues(spark, sf_dir)
-    return surface.query(p, found, surface.Query(1, url_pattern="*/shop/*", severity="warning", urls_per_issue=500))
+    return surface.query(p, found, surface.Query(1, url_pattern="*/shop/*", severity="warning", urls_per_issue=500)).drop("detail")
 
 
 def compare_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
