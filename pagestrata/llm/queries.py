@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import collapse, maincontent, mixture, near, quality, reading, residue, tokens
+from pagestrata.llm import collapse, maincontent, mixture, near, quality, reading, residue, sql, tokens
 from pagestrata.runtime import table, written
 
 
@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE
