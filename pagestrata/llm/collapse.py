@@ -16,9 +16,16 @@ from pagestrata.runtime import one_delivery, written
 PRIME = (1 << 61) - 1
 
 
+# Letters whose case folding is not one small letter.
+FOLDED = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def normalized(text: Column) -> Column:
-    """Letters and digits only, ignoring case (through capitals, so that ß equals SS). Accents stay."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}\p{M}]+|[\x{FE00}-\x{FE0F}]", "")
+    """Letters and digits only, ignoring case by full folding (ß equals SS). Accents stay."""
+    folded = F.lower(F.upper(text))
+    for letter, small in FOLDED.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(small))
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}\p{M}]+|[\x{FE00}-\x{FE0F}]", "")
 
 
 def multiset_hash(fields: Column, seed: int) -> Column:

@@ -100,9 +100,10 @@ class _Builder(HTMLParser):
                 return
 
     def _pop(self) -> None:
-        tag, hidden = self.open.pop()
+        tag, hidden = self.open[-1]
         if tag in BLOCK and tag not in ("td", "th") and not self.unseen and not self._in_cell():
             self.flush()
+        self.open.pop()
         self.unseen -= hidden
         if tag in ("ul", "ol", "menu") and self.counters:
             self.counters.pop()

@@ -188,7 +188,7 @@ def outlierness(documents: DataFrame, id_column: str = "doc_id", text_column: st
         limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
         models = _models(_moments(placed.where(F.col("squared") <= limit[F.col("language")])))
     placed = _distances(stats, models)
-    distance = F.sqrt(F.greatest(F.col("squared"), F.lit(0.0)))
+    distance = F.when(F.col("squared").isNotNull(), F.sqrt(F.greatest(F.col("squared"), F.lit(0.0))))
     running = F.get("statistics", STATISTICS.index("running_text_share"))
     return placed.select(
         F.col("id").alias(id_column), "language", "words", "statistics", "contributions",

@@ -1,6 +1,6 @@
 """SQL for the text queries that a plain database can express; the others are tested in tests/llm."""
 
-FLAT = "regexp_replace(lower(upper({c})), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+|[\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+FLAT = "regexp_replace(replace(replace(replace(replace(lower(upper({c})), 'ß', 'ss'), 'ẞ', 'ss'), 'ſ', 's'), 'ς', 'σ'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+|[\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
 SOLID = r"'[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'"
 GROUPS = f"""records AS (SELECT DISTINCT page_id, title, meta_description FROM page_data WHERE page_id IS NOT NULL AND regexp_matches(title, {SOLID}) AND regexp_matches(meta_description, {SOLID})),
 flat AS (SELECT page_id, {FLAT.format(c="title")} AS a, {FLAT.format(c="meta_description")} AS b FROM records),
