@@ -15,8 +15,10 @@ LOC_BYTES = 2048
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
-def parse(text: str) -> dict:
+def parse(text: str | None) -> dict | None:
     """kind (index, urlset or none), locs, invalid locs, and whether the XML is malformed. What stands before an error counts."""
+    if text is None:
+        return None
     locs, kind, malformed = [], "none", False
     parser = ET.XMLPullParser(["start", "end"])
     stack: list[str] = []
