@@ -81,6 +81,14 @@ def query(pages: DataFrame, issues: DataFrame, q: Query) -> DataFrame:
     return first.join(F.broadcast(shown), check).select(*check, "total_urls", "url_no", "url", "detail", "page_count")
 
 
+def inspect(pages: DataFrame, issues: DataFrame, url: str) -> DataFrame:
+    """Findings of one address: those filed under it or under what it was served as, and the site-level ones."""
+    keyed = _served(pages, issues.where("url is not null"))
+    wanted = _served(pages, pages.select("crawl_id", F.lit(url).alias("url")).distinct()).select("crawl_id", "url_key")
+    own = keyed.join(wanted, ["crawl_id", "url_key"], "left_semi").drop("url_key")
+    return own.unionByName(issues.where("url is null").join(wanted.select("crawl_id").distinct(), "crawl_id", "left_semi"))
+
+
 def query_pages(pages: DataFrame, q: Query, fields: list[str]) -> DataFrame:
     """Chosen fields of the matching pages, one page of them in the order of their ids."""
     own = pages.where(c("crawl_id") == q.crawl_id)
