@@ -53,12 +53,9 @@ class Shingler:
         known = self.known
         if len(known) > 2_000_000:
             known.clear()
-        ids = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            ids[i] = h
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        ids = np.array([known[w] for w in words], np.uint64)
         n = min(self.size, len(words))
         mixed = np.zeros(len(ids) - n + 1, np.uint64)
         for k in range(n):
@@ -73,16 +70,20 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 def min_max(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Smallest and largest value of each permutation: 2 x PERMUTATIONS values, of 32 bits."""
+    low_factor = (factors >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
     out = np.empty((2, len(factors)), np.uint32)
-    top = (hashes >> np.uint64(32)).astype(np.uint32)
-    low = hashes.astype(np.uint32)
-    for k in range(len(factors)):
-        v = top * np.uint32(factors[k] & np.uint64(0xFFFFFFFF)) + low * np.uint32(factors[k] >> np.uint64(32) | np.uint64(1)) + np.uint32(offsets[k] & np.uint64(0xFFFFFFFF))
+    out[0], out[1] = 0xFFFFFFFF, 0
+    # All permutations at once, over parts of the set that stay in the processor's cache.
+    for start in range(0, len(hashes), 512):
+        part = hashes[start : start + 512]
+        v = (part >> np.uint64(32)).astype(np.uint32) * factors.astype(np.uint32)[:, None]
+        v += part.astype(np.uint32) * low_factor[:, None]
+        v += offsets.astype(np.uint32)[:, None]
         v ^= v >> np.uint32(15)
         v *= np.uint32(0x2C1B3C6D)
         v ^= v >> np.uint32(12)
-        out[0, k] = v.min()
-        out[1, k] = v.max()
+        np.minimum(out[0], v.min(axis=1), out=out[0])
+        np.maximum(out[1], v.max(axis=1), out=out[1])
     return out
 
 
