@@ -187,18 +187,27 @@ def _redirect_checks() -> list[tuple[str, str, Column, Column, Column]]:
     ]
 
 
-def row_issues(pages: DataFrame) -> DataFrame:
-    """Findings of all row-local checks, from one pass over the pages."""
-    languages, countries = text.iso_codes(pages.sparkSession)
+def _found(spark) -> Column:
+    """Array of a page's findings. The expression is built once a process: it does not depend on the pages."""
+    return _built(id(spark.sparkContext._gateway), *map(tuple, text.iso_codes(spark)))
+
+
+@functools.lru_cache(maxsize=4)
+def _built(_gateway: int, languages: tuple[str, ...], countries: tuple[str, ...]) -> Column:
     found = []
-    plain = [(a, b, p, c("url"), d) for a, b, p, d in row_checks(languages, countries)]
+    plain = [(a, b, p, c("url"), d) for a, b, p, d in row_checks(list(languages), list(countries))]
     for category, check, predicate, url, detail in plain + _redirect_checks():
         finding = F.struct(
             F.lit(category).alias("category"), F.lit(check).alias("check"), F.lit(SEVERITY[category, check]).alias("severity"),
             url.alias("url"), _items(detail).alias("items"), _size(detail).alias("of"),
         )
         found.append(F.when(predicate, finding))
-    one = pages.select("crawl_id", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return F.array_compact(F.array(*found))
+
+
+def row_issues(pages: DataFrame) -> DataFrame:
+    """Findings of all row-local checks, from one pass over the pages."""
+    one = pages.select("crawl_id", F.explode(_found(pages.sparkSession)).alias("f"))
     detail = text.detail_sample(c("f.items"), c("f.of"))
     return one.select("crawl_id", "f.category", "f.check", "f.severity", "f.url", detail.alias("detail"))
 

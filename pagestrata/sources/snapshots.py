@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,20 @@ def audit_columns(snapshots: DataFrame) -> DataFrame:
     """Every page field and what the checks need beside them.
 
     Fields a source lacks are nulls, except those that follow from others: lengths and widths of title and
-    description, directives, soft-404 and content hash from the body, reading score held to 0..100. Added:
+    description, directives, soft-404 and content hash from the body. Added:
     url_key, is_html (2xx and HTML), is_ok (2xx), noindex, indexable, directives, chain_urls.
     """
     p = complete(snapshots)
     fill = lambda name, value: F.coalesce(F.col(name), value).alias(name)
+    derived, added = _expressions(id(snapshots.sparkSession.sparkContext._gateway), "canonical_source" in snapshots.columns)
+    p = p.select(*[fill(n, derived[n]) if n in derived else F.col(n) for n in p.columns]).withColumns(added)
+    p = p.withColumn("is_html", F.col("is_ok") & F.col("html_type")).withColumn("noindex", F.arrays_overlap("directives", F.lit(["noindex", "none"])))
+    return p.withColumn("indexable", F.col("is_html") & ~F.col("noindex"))
+
+
+@functools.lru_cache(maxsize=4)
+def _expressions(_gateway: int, sourced: bool) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Expressions of the fields that follow from others, and of the added columns; built once a process."""
     derived = {
         "title_length": text.rendered_length(F.col("title")), "title_pixel_width": text.pixel_width(F.col("title"), "title"),
         "meta_description_length": text.rendered_length(F.col("meta_description")),
@@ -48,20 +59,16 @@ def audit_columns(snapshots: DataFrame) -> DataFrame:
         "meta_robots_directives": _tokens(F.col("meta_robots"), ","),
         "is_https": F.lower(F.col("url")).startswith("https://"),
         "has_self_canonical": urls.norm_url(F.col("canonical")) == urls.norm_url(F.col("url")),
-        "canonical_source": F.when(F.col("canonical").isNotNull() & F.lit("canonical_source" not in snapshots.columns), "html"),
+        "canonical_source": F.when(F.col("canonical").isNotNull() & F.lit(not sourced), "html"),
     }
-    p = p.select(*[fill(n, derived[n]) if n in derived else F.col(n) for n in p.columns])
-    p = p.withColumns(
-        {
-            "content_hash": F.when(F.length("body_text") > 0, text.content_hash(F.col("body_text"))).otherwise(""),
-            "is_soft_404": text.is_soft_404(F.coalesce("body_text", F.lit("")), F.col("title")) & F.col("status").between(200, 299),
-            "url_key": urls.norm_url(F.col("url")),
-            "is_ok": F.coalesce(F.col("status").between(200, 299), F.lit(False)),
-            "html_type": F.coalesce(F.lower("content_type").rlike(r"text/html|application/xhtml\+xml"), F.lit(False)),
-            "directives": F.concat(F.coalesce("meta_robots_directives", F.array().cast("array<string>")), header_directives(F.col("x_robots_tag"))),
-            "chain_urls": F.transform("redirect_chain", lambda h: h["url"]),
-            "has_body": F.length("body_text") > 0,
-        }
-    )
-    p = p.withColumn("is_html", F.col("is_ok") & F.col("html_type")).withColumn("noindex", F.arrays_overlap("directives", F.lit(["noindex", "none"])))
-    return p.withColumn("indexable", F.col("is_html") & ~F.col("noindex"))
+    added = {
+        "content_hash": F.when(F.length("body_text") > 0, text.content_hash(F.col("body_text"))).otherwise(""),
+        "is_soft_404": text.is_soft_404(F.coalesce("body_text", F.lit("")), F.col("title")) & F.col("status").between(200, 299),
+        "url_key": urls.norm_url(F.col("url")),
+        "is_ok": F.coalesce(F.col("status").between(200, 299), F.lit(False)),
+        "html_type": F.coalesce(F.lower("content_type").rlike(r"text/html|application/xhtml\+xml"), F.lit(False)),
+        "directives": F.concat(F.coalesce("meta_robots_directives", F.array().cast("array<string>")), header_directives(F.col("x_robots_tag"))),
+        "chain_urls": F.transform("redirect_chain", lambda h: h["url"]),
+        "has_body": F.length("body_text") > 0,
+    }
+    return derived, added
