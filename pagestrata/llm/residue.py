@@ -94,6 +94,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"\b[A-Z]{2}-\d+\b|\b(?=\w*\d)\w+\b")
 
 
+_PLACEHOLDING = DUMMY_LATIN | NONSENSE
+
+
 def placeholders(text: str) -> list[str]:
     """Unfilled placeholders of one line, without those the line speaks about."""
     out = []
@@ -108,6 +111,10 @@ def placeholders(text: str) -> list[str]:
 
 
 def is_filler(line: str) -> bool:
+    rough = line.lower().split()
+    # Punctuation sticks to some words here; lines without a hint of either vocabulary need no closer look.
+    if 4 * sum(map(_PLACEHOLDING.__contains__, rough)) < len(rough):
+        return FILLER.search(line) is not None
     words = [w.lower() for w in _WORD.findall(line)]
     if len(words) >= 4 and sum(w in DUMMY_LATIN for w in words) >= 0.65 * len(words):
         return True
@@ -131,29 +138,31 @@ def measure(url: str | None, domain: str | None, title: str | None, body: str |
     filler = sum(is_filler(x) for x in [title or "", *lines])
     brand = _bare(re.sub(r"(?:-\d+)?\.\w+$", "", domain or ""))
     heading = _bare(_CODE.sub("", title or ""))
-    core, notice, spoken, noted_words = [], set(), False, 0
-    words = sum(len(x.split()) for x in lines)
-    if lines and words <= 400:
+    core, notice, noted_words = [], set(), 0
+    if lines:
+        longest = len(title or "") + len(domain or "")
         for x in lines:
-            flat = _bare(_CODE.sub("", x))
-            if flat and (flat == brand or (len(flat) > 6 and flat in heading)):
-                continue
+            if len(x) <= longest:
+                flat = _bare(_CODE.sub("", x))
+                if flat and (flat == brand or (len(flat) > 6 and flat in heading)):
+                    continue
             core.append(x)
-        if not core:
-            core = lines
-        for x in core:
-            n = len(x.split())
-            if n > LINE_WORDS:
-                continue
-            hits = {m.lastgroup for m in NOTICE.finditer(x)}
-            if LOADING.match(x) and n <= 12:
-                hits.add("scripts")
-            if hits and SPOKEN_OF.search(x):
-                spoken, hits = True, set()
-            if hits:
-                notice |= hits
-                noted_words += n
+        core = core or lines
     core_words = sum(len(x.split()) for x in core)
+    low = bool(core) and core_words <= CORE_WORDS
+    if not low:
+        # Enough text to be judged by itself: only residue and filler can exclude the page.
+        return {"residue": residue, "filler": filler, "core_words": core_words, "sentence_words": core_words, "noted_words": 0, "notice": [], "mismatched": False, "response": None}
+    for x in core:
+        n = len(x.split())
+        if n > LINE_WORDS:
+            continue
+        hits = {m.lastgroup for m in NOTICE.finditer(x)}
+        if LOADING.match(x) and n <= 12:
+            hits.add("scripts")
+        if hits and not SPOKEN_OF.search(x):
+            notice |= hits
+            noted_words += n
     # Headings above a notice carry no information of their own.
     sentences = sum(n for x in core if (n := len(x.split())) > 14 or x.rstrip()[-1] in ".!?…。" or NOTICE.search(x))
     slug = _terms(re.sub(r"^\w+://[^/]*", "", url or "").replace("-", " ").replace("/", " "))
@@ -166,7 +175,7 @@ def measure(url: str | None, domain: str | None, title: str | None, body: str |
         "noted_words": noted_words,
         "notice": sorted(notice),
         "mismatched": not (slug & body_terms),
-        "response": xxhash.xxh3_64_intdigest(_bare(_CODE.sub("#", " ".join(core))).encode()) - 2**63 if core and core_words <= CORE_WORDS else None,
+        "response": xxhash.xxh3_64_intdigest(_bare(_CODE.sub("#", " ".join(core))).encode()) - 2**63,
     }
 
 
