@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.runtime import written
+
 BUCKETS = 4096
 
 
@@ -62,11 +64,11 @@ def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, s
     """
     sized = documents.where(F.col("source").isNotNull()).select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("unit", _unit(F.col("doc_id"), seed)).withColumn("bucket", F.floor(F.col("unit") * BUCKETS).cast("int"))
-    by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("bucket_documents"))
+    by_bucket = written(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("bucket_documents")), "mixture-buckets")
     sizes = by_bucket.groupBy("source").agg(F.sum("bucket_documents").alias("documents"), F.sum("bucket_size").alias("tokens"))
     plan = quotas(sizes, targets, budget)
     epochs = F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens")).otherwise(0.0)
-    plan = plan.withColumn("whole", F.floor(epochs + 1e-12).cast("int")).withColumn("rest", F.greatest(F.col("quota") - F.col("whole") * F.col("tokens"), F.lit(0.0)))
+    plan = written(plan.withColumn("whole", F.floor(epochs + 1e-12).cast("int")).withColumn("rest", F.greatest(F.col("quota") - F.col("whole") * F.col("tokens"), F.lit(0.0))), "mixture-plan")
     running = Window.partitionBy("source").orderBy("bucket")
     edges = by_bucket.join(F.broadcast(plan.select("source", "whole", "rest")), "source").withColumn("upto", F.sum("bucket_size").over(running))
     edges = edges.select("source", "bucket", "whole", (F.col("upto") <= F.col("rest")).alias("all_in"), (F.col("rest") - (F.col("upto") - F.col("bucket_size"))).alias("left"))
