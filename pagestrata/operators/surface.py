@@ -128,6 +128,26 @@ def compare(pages_a: DataFrame, issues_a: DataFrame, pages_b: DataFrame, issues_
     return new.unionByName(a.join(b, key, "left_anti").withColumn("change", F.lit("resolved")))
 
 
+def crawl_pairs(crawls: DataFrame) -> DataFrame:
+    """(crawl_a, crawl_b): each crawl and the next one of its site, by date and then by id."""
+    following = F.lead("crawl_id").over(Window.partitionBy("site_id").orderBy(c("crawl_date").asc_nulls_first(), "crawl_id"))
+    return crawls.where("site_id is not null").select(c("crawl_id").alias("crawl_a"), following.alias("crawl_b")).where("crawl_b is not null")
+
+
+def compare_consecutive(pages: DataFrame, issues: DataFrame, crawls: DataFrame, compat: bool = False) -> DataFrame:
+    """(crawl_a, crawl_b, category, check, url_key, change): compare() for each crawl of a site and the next one.
+
+    Addresses are resolved within their own crawl. A site's only crawl has nothing to be compared with.
+    """
+    key = (["check"] if compat else ["category", "check"]) + ["url_key"]
+    pair = crawl_pairs(crawls)
+    sides = [pair.select("crawl_a", "crawl_b", c(of).alias("crawl_id"), F.lit(of == "crawl_b").alias("later")) for of in ("crawl_a", "crawl_b")]
+    # Each finding once for either side it stands on; those on one side only have changed.
+    keyed = _served(pages, issues.where("url is not null")).select("crawl_id", *key).join(sides[0].unionByName(sides[1]), "crawl_id")
+    seen = keyed.groupBy("crawl_a", "crawl_b", *key).agg(F.min("later").alias("first"), F.max("later").alias("last")).where(c("first") == c("last"))
+    return seen.select("crawl_a", "crawl_b", *key, F.when(c("last"), "new").otherwise("resolved").alias("change"))
+
+
 def regressions(changes: DataFrame, top: int = 50) -> DataFrame:
     """Addresses with most new checks (a top-k report)."""
     return changes.where("change = 'new'").groupBy("url_key").agg(F.count("*").alias("checks"), F.array_sort(F.collect_set("check")).alias("names")).orderBy(c("checks").desc(), "url_key").limit(top)

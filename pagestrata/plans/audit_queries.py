@@ -104,7 +104,7 @@ def query_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each crawl against the next one of its site."""
+    """The crawl with the largest id of each site against all its others taken together."""
     p, found = issues(spark, sf_dir)
     crawls = table(spark, sf_dir, "crawls").select("crawl_id", "site_id")
     last = crawls.groupBy("site_id").agg(F.max("crawl_id").alias("latest"))
@@ -114,6 +114,11 @@ def compare_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.compare(keyed(p, False), keyed(found, False), keyed(p, True), keyed(found, True))
 
 
+def compare_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each crawl against the next one of its site."""
+    return surface.compare_consecutive(*issues(spark, sf_dir), table(spark, sf_dir, "crawls"))
+
+
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c("url")
     p = pages(spark, sf_dir).select("page_id", F.explode(F.transform("internal_links", lambda l: l["url"])).alias("url")).distinct()
@@ -170,6 +175,7 @@ QUERIES = {
     "top_issues": top_issues,
     "query_issues": query_issues,
     "compare_crawls": compare_crawls,
+    "compare_consecutive": compare_consecutive,
     "crawl_summary": _of_pages(scoring.crawl_summary),
     "status_counts": _of_pages(scoring.status_counts),
     "status_classes": _of_pages(scoring.status_classes),

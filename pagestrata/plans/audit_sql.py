@@ -208,6 +208,10 @@ SELECT category, "check", severity, total_urls, url, url_no, page_count FROM (SE
     "compare_crawls": f"""{WITH_ISSUES}, {SERVED}, roles AS (SELECT crawl_id, crawl_id = max(crawl_id) OVER (PARTITION BY site_id) AS latest FROM crawls),
 found AS (SELECT DISTINCT latest, category, "check", url_key FROM served JOIN roles USING (crawl_id))
 SELECT category, "check", url_key, CASE WHEN bool_and(latest) THEN 'new' ELSE 'resolved' END AS change FROM found GROUP BY category, "check", url_key HAVING count(DISTINCT latest) = 1""",
+    "compare_consecutive": f"""{WITH_ISSUES}, {SERVED}, pairs AS (SELECT * FROM (SELECT crawl_id AS crawl_a, lead(crawl_id) OVER (PARTITION BY site_id ORDER BY crawl_date NULLS FIRST, crawl_id) AS crawl_b FROM crawls WHERE site_id IS NOT NULL) WHERE crawl_b IS NOT NULL),
+keyed AS (SELECT DISTINCT crawl_id, category, "check", url_key FROM served),
+before AS (SELECT crawl_a, crawl_b, category, "check", url_key FROM pairs JOIN keyed ON crawl_id = crawl_a), after AS (SELECT crawl_a, crawl_b, category, "check", url_key FROM pairs JOIN keyed ON crawl_id = crawl_b)
+SELECT *, 'new' AS change FROM (SELECT * FROM after EXCEPT SELECT * FROM before) UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM before EXCEPT SELECT * FROM after)""",
     "crawl_summary": f"""{BASE} SELECT crawl_id, count(*) AS pages, floor(sum(response_time_ms) / count(*))::BIGINT AS mean_response_ms, sum(word_count)::BIGINT AS words, floor(sum(word_count) / count(*))::BIGINT AS mean_words,
   sum(coalesce(len(internal_links), 0))::BIGINT AS internal_links, sum(coalesce(len(external_links), 0))::BIGINT AS external_links, sum(coalesce(len(images), 0))::BIGINT AS images,
   sum(coalesce(len(list_filter(images, lambda i: i.alt IS NULL)), 0))::BIGINT AS images_without_alt, floor(quantile_cont(response_time_ms, 0.5))::BIGINT AS p50_response_ms, quantile_disc(response_time_ms, 0.95)::BIGINT AS p95_response_ms FROM q GROUP BY crawl_id""",

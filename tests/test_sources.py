@@ -78,6 +78,22 @@ def test_query_and_compare(spark):
     assert changes == {("broken_internal", "https://s.example/p3", "resolved"), ("orphan_pages", "https://s.example/p1", "new")}
 
 
+def test_consecutive_crawls(spark):
+    """Three crawls of a site whose ids are not in the order of their dates, and a site with one crawl."""
+    days = [(3, 1, "2025-01-01"), (1, 1, "2025-02-01"), (2, 1, "2025-03-01"), (9, 2, "2025-01-01")]
+    crawls = spark.createDataFrame(days, "crawl_id long, site_id int, day string").select("crawl_id", "site_id", F.to_timestamp("day").alias("crawl_date"))
+    at = "https://s.example/{}".format
+    hop = lambda k: [at("old")] if k == 1 else None
+    page = "crawl_id long, page_id long, url string, url_key string, redirect_chain array<struct<status:int,url:string>>, chain_urls array<string>"
+    pages = spark.createDataFrame([(k, k, at("p"), at("p"), [(301, at("old"))] if k == 1 else None, hop(k)) for k in (1, 2, 3, 9)], page)
+    # "back" is gone in the middle crawl, "mended" is only in the first; the address "old" is "p" in crawl 1 alone.
+    rows = [(3, "back", at("p")), (2, "back", at("p")), (3, "mended", at("p")), (1, "moved", at("old")), (2, "moved", at("old")), (9, "back", at("p"))]
+    found = spark.createDataFrame([(k, "links", check, "warning", url, None) for k, check, url in rows], "crawl_id long, category string, check string, severity string, url string, detail string")
+    got = {(r.crawl_a, r.crawl_b, r.check, r.url_key.rsplit("/", 1)[1], r.change) for r in surface.compare_consecutive(pages, found, crawls).collect()}
+    first = {(3, 1, "back", "p", "resolved"), (3, 1, "mended", "p", "resolved"), (3, 1, "moved", "p", "new")}
+    assert got == first | {(1, 2, "back", "p", "new"), (1, 2, "moved", "p", "resolved"), (1, 2, "moved", "old", "new")}
+
+
 def test_csv_guard(spark, sf_dir, tmp_path):
     pages = audit_pages(table(spark, sf_dir, "page_data")).withColumn("title", F.lit("=1+1"))
     surface.write_csv(pages, str(tmp_path / "csv"))
