@@ -111,11 +111,10 @@ def placeholders(text: str) -> list[str]:
 
 
 def is_filler(line: str) -> bool:
-    rough = line.lower().split()
-    # Punctuation sticks to some words here; lines without a hint of either vocabulary need no closer look.
-    if 4 * sum(map(_PLACEHOLDING.__contains__, rough)) < len(rough):
+    words = list(map(str.lower, _WORD.findall(line)))
+    # Either test below needs this share of both vocabularies, so the lines it sets aside pass neither.
+    if sum(map(_PLACEHOLDING.__contains__, words)) < 0.65 * len(words):
         return FILLER.search(line) is not None
-    words = [w.lower() for w in _WORD.findall(line)]
     if len(words) >= 4 and sum(w in DUMMY_LATIN for w in words) >= 0.65 * len(words):
         return True
     if len(words) >= 2 and sum(w in NONSENSE for w in words) >= 0.8 * len(words):

@@ -169,6 +169,11 @@ def test_residue(title, body, found):
     assert bool(m["residue"] or m["filler"] or told) is found
 
 
+@pytest.mark.parametrize("line", ["blah, blah, blah.", "Lorem, ipsum, dolor, sit, amet.", '"Lorem ipsum"', "lorem-ipsum", "foo/bar/baz"])
+def test_filler_among_punctuation(line):
+    assert residue.is_filler(line) and not residue.is_filler(f"They wrote {line} over the door of the mill.")
+
+
 def test_residue_table(spark):
     rows = [{"page_id": 1, "title": "[[brand]]", "body_text": PROSE}, {"page_id": 1, "title": "[[brand]]", "body_text": PROSE}, {"page_id": 2, "domain": None, "title": None, "body_text": "x" * 100_000}, {"page_id": None, "title": "{{x}}"}]
     assert [r.page_id for r in residue.found(pages(spark, rows)).collect()] == [1]
