@@ -39,11 +39,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.found(table(spark, sf_dir, "page_data"))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str, of_corpus: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Copies and shares; of_corpus asks for as many tokens as all documents have, so that small sources are clamped."""
     documents = table(spark, sf_dir, "documents")
     encoded = tokens.encode_corpus(documents.select("doc_id", "text", "source"), tokens.vocabulary(), keep=["source"])
     sized = written(encoded.select("doc_id", "source", F.size("ids").alias("size")), "token-sizes")
-    return mixture.mix(sized, table(spark, sf_dir, "mix_targets"))
+    budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] if of_corpus else None
+    return mixture.mix(sized, table(spark, sf_dir, "mix_targets"), budget)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_corpus_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir, of_corpus=True)[0]
+
+
+def p9_corpus_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir, of_corpus=True)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(table(spark, sf_dir, "documents"))
 
@@ -68,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_corpus_mix": p9_corpus_mix,
+    "p9_corpus_shares": p9_corpus_shares,
     "p10_found": p10_found,
 }
 ORACLE: dict[str, str] = sql.ORACLE

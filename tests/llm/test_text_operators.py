@@ -79,6 +79,20 @@ def test_mixture(spark, budget):
         assert not counts or max(counts) - min(counts) <= 1
 
 
+def test_mixture_of_the_corpus_clamps(spark, sf_dir):
+    from pagestrata.llm import queries
+
+    rows = [r for r in queries.QUERIES["p9_corpus_shares"](spark, sf_dir).collect() if r.target_share > 0]
+    budget = sum(len(r.ids) for r in queries.p8_ids(spark, sf_dir).collect())
+    caps = {r.source: r.max_repeats * r.tokens for r in rows}
+    expected = filled(caps, {r.source: r.target_share for r in rows}, caps, min(sum(caps.values()), budget))
+    clamped = {r.source for r in rows if r.quota == pytest.approx(caps[r.source])}
+    assert clamped and len(clamped) < len(rows)
+    for r in rows:
+        assert r.quota == pytest.approx(expected[r.source]) and r.most_copies <= r.max_repeats
+        assert r.source in clamped or r.quota > budget * r.target_share
+
+
 def test_mixture_of_nothing(spark):
     documents = spark.createDataFrame([], "doc_id long, source string, size long")
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
