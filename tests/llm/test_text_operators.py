@@ -237,6 +237,21 @@ def test_reading_levels(spark):
     assert reading.found(table.limit(0)).count() == 0
 
 
+def test_reading_levels_of_misjudged_texts(spark, monkeypatch):
+    """Models that take every text for an easy one lose no page."""
+    hard = "Organisational sustainability necessitates multidimensional characterisation, notwithstanding administrative heterogeneity. "
+    table = pages(spark, [{"page_id": k, "body_text": (hard if k % 2 else PROSE) * 9} for k in range(8)])
+    trained = reading.train
+
+    def biased(texts):
+        model = trained(texts)
+        model.calibration, model.margin = model.calibration * 0 + 100.0, 0.0
+        return model
+
+    monkeypatch.setattr(reading, "train", biased)
+    assert {r.page_id for r in reading.found(table).collect()} == {1, 3, 5, 7}
+
+
 def test_quality(spark):
     prose = [(k, f"{PROSE * 3}\nIt was the {k}th day of the year, and nobody in the town had seen it.", "en") for k in range(60)]
     junk = [(100 + k, "\n".join(f"- red fox ({k + i})" for i in range(20)), None) for k in range(20)]
