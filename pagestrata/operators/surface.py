@@ -19,9 +19,9 @@ FORMULA_STARTS = "^[=+\\-@\t\r]"
 
 @dataclass
 class Query:
-    """A request for findings of one crawl. urls and url_pattern are alternatives; the other filters all apply."""
+    """A request for findings of one crawl, or of each one where crawl_id is None. urls and url_pattern are alternatives; the other filters all apply."""
 
-    crawl_id: int
+    crawl_id: int | None
     urls: list[str] = field(default_factory=list)
     url_pattern: str | None = None
     category: str | None = None
@@ -48,12 +48,14 @@ def _served(pages: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def query(pages: DataFrame, issues: DataFrame, q: Query) -> DataFrame:
-    """One page of findings by check: (category, check, severity, total_urls, url_no, url, detail, page_count).
+    """One page of findings by check: (category, check, severity, total_urls, url_no, url, detail, page_count),
+    with crawl_id before them and a page for each crawl if all are asked for.
 
     A finding's address is kept if it matches itself or if the page that served it does; site-level findings
     always stay. At most urls_per_issue addresses a check are shown; total_urls counts all.
     """
-    pages, issues = pages.where(c("crawl_id") == q.crawl_id), issues.where(c("crawl_id") == q.crawl_id)
+    if q.crawl_id is not None:
+        pages, issues = pages.where(c("crawl_id") == q.crawl_id), issues.where(c("crawl_id") == q.crawl_id)
     if q.category:
         issues = issues.where(c("category") == q.category)
     if q.severity:
@@ -64,21 +66,22 @@ def query(pages: DataFrame, issues: DataFrame, q: Query) -> DataFrame:
             hit = url.isin(q.urls) if q.urls else F.lit(False)
             return (hit | glob_matches(q.url_pattern, url)) if q.url_pattern else hit
 
-        chosen = pages.where(matches(c("url"))).select("url_key").distinct().withColumn("chosen", F.lit(True))
+        chosen = pages.where(matches(c("url"))).select("crawl_id", "url_key").distinct().withColumn("chosen", F.lit(True))
         site = issues.where("url is null").withColumn("url_key", F.lit(None).cast("string"))
-        own = _served(pages, issues.where("url is not null")).join(chosen, "url_key", "left").where(matches(c("url")) | c("chosen")).drop("chosen")
+        own = _served(pages, issues.where("url is not null")).join(chosen, ["crawl_id", "url_key"], "left").where(matches(c("url")) | c("chosen")).drop("chosen")
         issues = own.unionByName(site)
-    check = ["category", "check", "severity"]
+    check = ["crawl_id", "category", "check", "severity"]
     counted = issues.groupBy(*check).agg(F.count("url").alias("total_urls"))
     rank = F.create_map(*[x for s, r in SEVERITY_RANK.items() for x in (F.lit(s), F.lit(r))])
-    # At most one row a check of the catalogue, so one ordering over all of them is bounded.
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank[c("severity")], c("total_urls").desc(), "category", "check"))
-    of = F.count("*").over(Window.partitionBy(F.lit(0)))
+    # At most one row a check of the catalogue, so one ordering over all of a crawl is bounded.
+    place = F.row_number().over(Window.partitionBy("crawl_id").orderBy(rank[c("severity")], c("total_urls").desc(), "category", "check"))
+    of = F.count("*").over(Window.partitionBy("crawl_id"))
     shown = counted.withColumns({"place": place, "page_count": F.greatest(F.lit(1), F.ceil(of / q.per_page)).cast("int")})
     shown = shown.where(F.floor((c("place") - 1) / q.per_page) == q.page - 1)
     nth = F.row_number().over(Window.partitionBy(*check).orderBy("url", "detail"))
-    first = issues.join(F.broadcast(shown.select(*check)), check, "left_semi").withColumn("url_no", nth).where(c("url_no") <= q.urls_per_issue)
-    return first.join(F.broadcast(shown), check).select(*check, "total_urls", "url_no", "url", "detail", "page_count")
+    shown = shown if q.crawl_id is None else F.broadcast(shown)
+    first = issues.join(shown.select(*check), check, "left_semi").withColumn("url_no", nth).where(c("url_no") <= q.urls_per_issue)
+    return first.join(shown, check).select(*check[q.crawl_id is not None :], "total_urls", "url_no", "url", "detail", "page_count")
 
 
 def inspect(pages: DataFrame, issues: DataFrame, url: str) -> DataFrame:
@@ -91,7 +94,7 @@ def inspect(pages: DataFrame, issues: DataFrame, url: str) -> DataFrame:
 
 def query_pages(pages: DataFrame, q: Query, fields: list[str]) -> DataFrame:
     """Chosen fields of the matching pages, one page of them in the order of their ids."""
-    own = pages.where(c("crawl_id") == q.crawl_id)
+    own = pages if q.crawl_id is None else pages.where(c("crawl_id") == q.crawl_id)
     if q.urls or q.url_pattern:
         hit = c("url").isin(q.urls) if q.urls else F.lit(False)
         own = own.where((hit | glob_matches(q.url_pattern, c("url"))) if q.url_pattern else hit)

@@ -103,6 +103,12 @@ def query_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.query(p, found, surface.Query(1, url_pattern="*/shop/*", severity="warning", urls_per_issue=500)).drop("detail")
 
 
+def query_all_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of warnings about the shop section of each crawl."""
+    p, found = issues(spark, sf_dir)
+    return surface.query(p, found, surface.Query(None, url_pattern="*/shop/*", severity="warning", urls_per_issue=500)).drop("detail")
+
+
 def compare_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl with the largest id of each site against all its others taken together."""
     p, found = issues(spark, sf_dir)
@@ -174,6 +180,7 @@ QUERIES = {
     "worst_pages": worst_pages,
     "top_issues": top_issues,
     "query_issues": query_issues,
+    "query_all_issues": query_all_issues,
     "compare_crawls": compare_crawls,
     "compare_consecutive": compare_consecutive,
     "crawl_summary": _of_pages(scoring.crawl_summary),

@@ -205,6 +205,10 @@ SELECT crawl_id, pages, broken::BIGINT AS broken, defective::BIGINT AS defective
 counted AS (SELECT *, row_number() OVER (ORDER BY total_urls DESC, category, "check") AS place, greatest(1, ceil(count(*) OVER () / 20.0))::INTEGER AS page_count
   FROM (SELECT category, "check", severity, count(*) AS total_urls FROM kept GROUP BY ALL))
 SELECT category, "check", severity, total_urls, url, url_no, page_count FROM (SELECT *, row_number() OVER (PARTITION BY category, "check" ORDER BY url)::INTEGER AS url_no FROM kept) JOIN counted USING (category, "check", severity) WHERE place <= 20 AND url_no <= 500""",
+    "query_all_issues": f"""{WITH_ISSUES}, {SERVED}, kept AS (SELECT crawl_id, category, "check", severity, url FROM served WHERE severity = 'warning' AND (url LIKE '%/shop/%' OR (crawl_id, url_key) IN (SELECT crawl_id, url_key FROM q WHERE url LIKE '%/shop/%'))),
+counted AS (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY total_urls DESC, category, "check") AS place, greatest(1, ceil(count(*) OVER (PARTITION BY crawl_id) / 20.0))::INTEGER AS page_count
+  FROM (SELECT crawl_id, category, "check", severity, count(*) AS total_urls FROM kept GROUP BY ALL))
+SELECT crawl_id, category, "check", severity, total_urls, url, url_no, page_count FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id, category, "check" ORDER BY url)::INTEGER AS url_no FROM kept) JOIN counted USING (crawl_id, category, "check", severity) WHERE place <= 20 AND url_no <= 500""",
     "compare_crawls": f"""{WITH_ISSUES}, {SERVED}, roles AS (SELECT crawl_id, crawl_id = max(crawl_id) OVER (PARTITION BY site_id) AS latest FROM crawls),
 found AS (SELECT DISTINCT latest, category, "check", url_key FROM served JOIN roles USING (crawl_id))
 SELECT category, "check", url_key, CASE WHEN bool_and(latest) THEN 'new' ELSE 'resolved' END AS change FROM found GROUP BY category, "check", url_key HAVING count(DISTINCT latest) = 1""",

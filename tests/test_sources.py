@@ -78,6 +78,15 @@ def test_query_and_compare(spark):
     assert changes == {("broken_internal", "https://s.example/p3", "resolved"), ("orphan_pages", "https://s.example/p1", "new")}
 
 
+def test_query_of_every_crawl(spark):
+    at = "https://s.example/{}".format
+    pages = spark.createDataFrame([(k, k, at("shop/a"), at("shop/a"), None, None) for k in (1, 2)], "crawl_id long, page_id long, url string, url_key string, redirect_chain array<struct<status:int,url:string>>, chain_urls array<string>")
+    rows = [(1, "links", "one", at("shop/a")), (1, "links", "two", at("shop/a")), (2, "links", "two", at("shop/a")), (2, "links", "two", at("shop/b")), (3, "links", "one", at("blog/a"))]
+    found = spark.createDataFrame([(*r[:3], "warning", r[3], None) for r in rows], "crawl_id long, category string, check string, severity string, url string, detail string")
+    got = surface.query(pages, found, surface.Query(None, url_pattern="*/shop/*", per_page=1, urls_per_issue=5)).collect()
+    assert {(r.crawl_id, r.check, r.total_urls, r.url_no, r.page_count) for r in got} == {(1, "one", 1, 1, 2), (2, "two", 2, 1, 1), (2, "two", 2, 2, 1)}
+
+
 def test_consecutive_crawls(spark):
     """Three crawls of a site whose ids are not in the order of their dates, and a site with one crawl."""
     days = [(3, 1, "2025-01-01"), (1, 1, "2025-02-01"), (2, 1, "2025-03-01"), (9, 2, "2025-01-01")]
