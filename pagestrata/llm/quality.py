@@ -168,8 +168,9 @@ def _distances(stats: DataFrame, models: dict) -> DataFrame:
 def outlierness(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> DataFrame:
     """(id, language, words, statistics, contributions, distance, is_prose): one row per input row.
 
-    distance is the robust Mahalanobis distance from the prose of the document's language, scaled so that
-    half of the kept core lies within its expected median. is_prose is false beyond CUTOFF where running
+    distance is the robust Mahalanobis distance from the prose of the document's language. The covariance is
+    that of the kept core, not enlarged for what was left out, so distances run high and CUTOFF has no stated
+    error rate; the running-text rule decides. is_prose is false beyond CUTOFF where running
     text is also under half of the document. Null, empty and blank texts have nulls throughout. Repeated
     ids keep their rows; other columns are ignored; an empty table gives an empty result.
     """
