@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +23,11 @@ from pagestrata.runtime import one_delivery, written
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 3
 SIMILARITY = 0.5
-PERMUTATIONS = 60
-BAND_ROWS = 3
-# Candidates pass the signature's estimate this far under the threshold: about four standard errors.
-MARGIN = 0.17
+# 100 bands of five values: a pair of similarity 0.59 meets in none with probability 0.0006, one of 0.1 in any with 0.001.
+PERMUTATIONS = 250
+BAND_ROWS = 5
+BIT_DIGITS = 10
+BITS = 1 << BIT_DIGITS
 SEED = 20240607
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _SHIFT = np.uint64(31)
@@ -63,13 +63,13 @@ class Shingler:
         return np.unique(mixed)
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def _permutations(count: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+    return rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
 
 
 def min_max(hashes: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Smallest and largest value of each permutation: 2 x PERMUTATIONS values, of 32 bits."""
+    """Smallest and largest value of each permutation: two rows of 32-bit values."""
     low_factor = (factors >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
     out = np.empty((2, len(factors)), np.uint32)
     out[0], out[1] = 0xFFFFFFFF, 0
@@ -96,28 +96,46 @@ def band_keys(signature: np.ndarray, band_rows: int) -> np.ndarray:
     return keys.reshape(-1)
 
 
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """A set as BITS bits, each the parity of the members that fall on it: two sets differ in at least as many members as bits."""
+    counts = np.bincount((hashes >> np.uint64(64 - BIT_DIGITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def signatures(texts: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, text) to (id, size, whole, bands, sketch): whole identifies the set, bands are its candidate keys,
-    sketch holds one byte of each signature value."""
+    """(id, text) to (id, size, whole, bands, bits): whole identifies the set, bands are its candidate keys, bits its parities."""
 
     def measure(c: dict[str, list]) -> dict[str, list]:
-        shingler, (factors, offsets) = Shingler(shingle), _permutations()
-        factors, offsets = factors[:permutations], offsets[:permutations]
-        sizes, wholes, bands, sketches = [], [], [], []
+        shingler, (factors, offsets) = Shingler(shingle), _permutations(permutations)
+        sizes, wholes, bands, bits = [], [], [], []
         for text in c["text"]:
             h = shingler(text)
             sizes.append(len(h))
             wholes.append(xxhash.xxh3_128_digest(h.tobytes()))
-            if len(h):
-                s = min_max(h, factors, offsets)
-                bands.append(band_keys(s, band_rows).view(np.int64))
-                sketches.append(s.astype(np.uint8).tobytes())
-            else:
-                bands.append(None)
-                sketches.append(None)
-        return {"id": c["id"], "size": sizes, "whole": wholes, "bands": bands, "sketch": sketches}
+            bands.append(band_keys(min_max(h, factors, offsets), band_rows).view(np.int64) if len(h) else None)
+            bits.append(parity_bits(h) if len(h) else None)
+        return {"id": c["id"], "size": sizes, "whole": wholes, "bands": bands, "bits": bits}
+
+    return map_rows(texts, measure, "id long, size int, whole binary, bands array<long>, bits array<long>")
+
+
+def _candidates(heads: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, size_a, size_b): pairs that share a band and whose sizes allow the similarity, each once.
 
-    return map_rows(texts, measure, "id long, size int, whole binary, bands array<long>, sketch binary")
+    All rows are placed by band key once. Most keys stand alone, so keys are counted where they lie and only the rows of
+    repeated ones are joined to each other.
+    """
+    keyed = heads.select("id", "size", F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("key"))
+    keyed = keyed.repartition("key")
+    repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = keyed.join(repeated.hint("shuffle_hash"), "key", "left_semi")
+    s, l = met.alias("s"), met.alias("l")
+    ordered = (F.col("s.size") < F.col("l.size")) | ((F.col("s.size") == F.col("l.size")) & (F.col("s.id") < F.col("l.id")))
+    return (
+        s.join(l, (F.col("s.key") == F.col("l.key")) & ordered & (F.col("s.size") >= F.col("l.size") * F.lit(similarity)))
+        .select(F.col("s.id").alias("a"), F.col("l.id").alias("b"), F.col("s.size").alias("size_a"), F.col("l.size").alias("size_b"))
+        .distinct()
+    )
 
 
 def near_pairs(
@@ -126,24 +144,19 @@ def near_pairs(
     """(members, links) of a table (id, text) with unique ids.
 
     members: (id, class), the class being the smallest id with the same set of n-grams. links: (a, b,
-    similarity) between classes, a < b, each pair once: candidates share a band, pass an estimate from the
-    whole signature with a wide margin, and are verified on the full sets. Null texts, texts without a word
+    similarity) between classes, a < b, each pair once: candidates share a band; those whose parity bits prove that they differ in too many
+    n-grams are set aside, which loses none, and the rest are verified on the full sets. Null texts, texts without a word
     and null ids are no member. An empty table gives two empty ones.
     """
     signed = written(signatures(texts.where(F.col("id").isNotNull()), shingle, permutations, band_rows), "min-max").where("size > 0")
     classes = signed.groupBy("whole").agg(F.min("id").alias("class"))
     members = signed.select("id", "whole").join(classes, "whole").select("id", "class")
-    heads = signed.select("id", "size", "bands", "whole").join(classes.select(F.col("class").alias("id"), "whole"), ["id", "whole"], "left_semi")
-    keyed = heads.select("id", "size", F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("key"))
-    s, l = keyed.alias("s"), keyed.alias("l")
-    ordered = (F.col("s.size") < F.col("l.size")) | ((F.col("s.size") == F.col("l.size")) & (F.col("s.id") < F.col("l.id")))
-    candidates = (
-        s.join(l, (F.col("s.key") == F.col("l.key")) & ordered & (F.col("s.size") >= F.col("l.size") * F.lit(similarity)))
-        .select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b"))
-        .distinct()
-    )
-    sketch_a, sketch_b = (signed.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    likely = _agreeing(candidates.join(sketch_a, "a").join(sketch_b, "b"), similarity - MARGIN)
+    heads = signed.select("id", "size", "bands").join(classes.select(F.col("class").alias("id")), "id", "left_semi")
+    bits_a, bits_b = (signed.select(F.col("id").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, v: n + v)
+    # Sets of similarity t or more differ in at most (1 - t) / (1 + t) of their sizes' sum.
+    most = (F.col("size_a") + F.col("size_b")) * F.lit((1 - similarity) / (1 + similarity) + 1e-9)
+    likely = _candidates(heads, similarity).join(bits_a, "a").join(bits_b, "b").where(apart <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     likely = written(likely, "candidate-pairs")
     named = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = map_rows(texts.select("id", "text").join(named, "id", "left_semi"), lambda c: _sets(c, shingle), "id long, grams array<long>")
@@ -165,18 +178,6 @@ def _sets(c: dict[str, list], shingle: int) -> dict[str, list]:
     return {"id": c["id"], "grams": [shingler(t).view(np.int64) for t in c["text"]]}
 
 
-def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose sketches let expect a similarity of at least least."""
-
-    def keep(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(batch.schema.names.index(n)).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for n in ("sketch_a", "sketch_b"))
-            share = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256) if batch.num_rows else np.empty(0)
-            yield batch.select(["a", "b"]).filter(pa.array(share >= least))
-
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
-
-
 def pair_members(members: DataFrame, links: DataFrame) -> DataFrame:
     """Every pair (a, b, similarity) of members: those of linked classes, and those within a class at 1."""
     one, two = (members.select(F.col("class").alias(f"class_{k}"), F.col("id").alias(f"id_{k}")) for k in "xy")
