@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pagestrata.runtime import ship
+
 
 def map_rows(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply function to the columns of each batch as lists; it returns the output columns as lists of equal length."""
+    ship(df.sparkSession)
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
