@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pagestrata.runtime import one_delivery, written
+from pagestrata.runtime import one_delivery, ship, written
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _LITERAL = re.compile(r"true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
@@ -213,6 +213,7 @@ def triples(results: DataFrame, id_column: str = "result_id", payload_column: st
                     columns = [[key] * len(part), [p for p, _, _ in part], [o for _, o, _ in part], [v for _, _, v in part]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
+    ship(results.sparkSession)
     once = one_delivery(results, id_column, [payload_column]).select(F.col(id_column).alias("id"), F.col(payload_column).alias("payload"))
     return once.mapInArrow(over, schema)
 

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import weakref
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 
 def session(app: str = "pagestrata", cores: int | str = "*", partitions: int | None = None) -> SparkSession:
@@ -38,16 +43,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a local session without the setting, as in tests, gets a
+    temporary folder; a cluster without it is an error, as its executors would write to disks of their own."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagestrata-checkpoint-")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="pagestrata-checkpoint-")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once a context, so that Python stages run wherever the driver was started from."""
+    sc = spark.sparkContext
+    if sc in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/pagestrata-{uuid.uuid4().hex}.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(target.toString())
+    _SHIPPED.add(sc)
+    _WRITTEN.append((spark, target.toString()))
+
+
 def _forget() -> None:
     for spark, path in _WRITTEN:
         try:
@@ -71,7 +103,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._pagestrata_path = path
+    return copy
+
+
+def free(copy: DataFrame) -> None:
+    """Delete what written() stored, once nothing reads it any more."""
+    path = copy._pagestrata_path
+    spark = copy.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN.remove((spark, path))
 
 
 def one_delivery(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
