@@ -128,7 +128,7 @@ def _candidates(heads: DataFrame, similarity: float) -> DataFrame:
     keyed = heads.select("id", "size", F.posexplode("bands").alias("band", "key")).select("id", "size", F.xxhash64("band", "key").alias("key"))
     keyed = keyed.repartition("key")
     repeated = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = keyed.join(repeated.hint("shuffle_hash"), "key", "left_semi")
+    met = written(keyed.join(repeated.hint("shuffle_hash"), "key", "left_semi"), "shared-bands")
     s, l = met.alias("s"), met.alias("l")
     ordered = (F.col("s.size") < F.col("l.size")) | ((F.col("s.size") == F.col("l.size")) & (F.col("s.id") < F.col("l.id")))
     return (
