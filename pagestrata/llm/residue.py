@@ -1,14 +1,15 @@
 """Template residue, filler, error pages and script notices.
 
-Three kinds of evidence are combined for each page:
+Two kinds of evidence are combined for each page:
 * placeholder and filler detectors over title and body, line by line; a placeholder that the prose speaks
   about ("a pattern like ...") does not count;
-* the terms of the address slug, the title and the body: a response that shares no term with its own
-  address, and is low in information once lines that echo the title or the site's name are set aside;
-* host evidence: how many different addresses, on the host and elsewhere, returned the same response up to
-  digits and codes.
-A low-information response is excluded if a notice detector matches its core, or if it is mismatched,
-duplicated under many addresses and mentions notice terms.
+* duplication of low-information responses. A response is cut into clauses, codes, numbers, paths and letter case set aside. Clauses that
+  stand in low-information responses of many addresses and of several hosts are what servers say, not what a page says:
+  they are counted over the whole corpus. The share of a page's own text that such clauses make up is compared together with
+  its mismatches: the terms of the address slug against the body, the slug against the title, and an error status.
+
+A site's name, the title repeated and a first line without an end mark above others say nothing either way. Words typical of notices
+only let a clause count as familiar that was seen too seldom, and only half.
 """
 
 from __future__ import annotations
@@ -87,9 +88,16 @@ NOTICE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in NOTICES.items()), re.I)
 SPOKEN_OF = re.compile(r"\b(?:says?|said|such as|called|named|reads?|the words?|speaks? of|the message|messages? that|explains?|stands? for|errors like|pages? like|if (?:the|a|your) \w+(?: \w+)? (?:says|shows|reads))\b", re.I)
 LOADING = re.compile(r"^\W*(?:loading|please wait|wird geladen|chargement|cargando|загрузка)\b", re.I)
 
-CORE_WORDS = 48
-LINE_WORDS = 26
-DUPLICATED = 3
+# Responses of at most so many words teach which clauses are familiar; every page, of any length, is judged by them.
+TEACHING_WORDS = 48
+# A clause is familiar from this many addresses, or this share of the teaching responses if that is more, on LEAST_HOSTS hosts
+# (or three times as many addresses on one).
+LEAST_ADDRESSES = 3
+FAMILIAR_SHARE = 1 / 3000
+LEAST_HOSTS = 2
+# Weights of the evidence beside the familiar share of the text (0..1), and the sum from which a page is excluded.
+NOTICE_WEIGHT, SLUG_WEIGHT, TITLE_WEIGHT, STATUS_WEIGHT = 0.5, 0.1, 0.05, 0.1
+EXCLUDED_FROM = 0.72
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"\b[A-Z]{2}-\d+\b|\b(?=\w*\d)\w+\b")
 
@@ -130,81 +138,155 @@ def _bare(text: str) -> str:
     return "".join(c for c in text.casefold() if c.isalnum())
 
 
-def measure(url: str | None, domain: str | None, title: str | None, body: str | None) -> dict:
-    """Evidence of one page."""
-    lines = [line for line in (body or "").split("\n") if line and not line.isspace()]
-    residue = sum(len(placeholders(x)) for x in [title or "", *lines] if any(c in x for c in "{}%@[]#_<$|"))
-    filler = sum(is_filler(x) for x in [title or "", *lines])
+_CLAUSE_END = re.compile(r"[.!?…。！？]+(?:\s|$)|\.{2,}|[,;:、，：]\s*")
+_MACHINE = re.compile(r"\S*[\d/_\\@]\S*")
+_NOT_WORD = re.compile(r"[^\w#]+")
+_ENDED = frozenset(".!?…。！？")
+
+
+def clauses_of(line: str) -> list[str]:
+    """Clauses of a line in lower case, without punctuation; tokens with digits, paths and the like are masked."""
+    out = []
+    for piece in _CLAUSE_END.split(line):
+        words = _NOT_WORD.sub(" ", _MACHINE.sub("#", piece)).strip().casefold()
+        if words and words.strip("# "):
+            out.append(words)
+    return out
+
+
+def clause_key(clause: str) -> int:
+    return xxhash.xxh3_64_intdigest(clause.encode("utf-8", "surrogatepass")) - 2**63
+
+
+def own_lines(title: str | None, domain: str | None, lines: list[str]) -> list[tuple[str, bool]]:
+    """(line, is heading) of a body without lines that repeat the title or the site's name; all lines if nothing else is left."""
     brand = _bare(re.sub(r"(?:-\d+)?\.\w+$", "", domain or ""))
     heading = _bare(_CODE.sub("", title or ""))
-    core, notice, noted_words = [], set(), 0
-    if lines:
-        longest = len(title or "") + len(domain or "")
-        for x in lines:
-            if len(x) <= longest:
-                flat = _bare(_CODE.sub("", x))
-                if flat and (flat == brand or (len(flat) > 6 and flat in heading)):
-                    continue
-            core.append(x)
-        core = core or lines
-    core_words = sum(len(x.split()) for x in core)
-    low = bool(core) and core_words <= CORE_WORDS
-    if not low:
-        # Enough text to be judged by itself: only residue and filler can exclude the page.
-        return {"residue": residue, "filler": filler, "core_words": core_words, "sentence_words": core_words, "noted_words": 0, "notice": [], "mismatched": False, "response": None}
-    for x in core:
-        n = len(x.split())
-        if n > LINE_WORDS:
-            continue
-        hits = {m.lastgroup for m in NOTICE.finditer(x)}
-        if LOADING.match(x) and n <= 12:
-            hits.add("scripts")
-        if hits and not SPOKEN_OF.search(x):
-            notice |= hits
-            noted_words += n
-    # Headings above a notice carry no information of their own.
-    sentences = sum(n for x in core if (n := len(x.split())) > 14 or x.rstrip()[-1] in ".!?…。" or NOTICE.search(x))
-    slug = _terms(re.sub(r"^\w+://[^/]*", "", url or "").replace("-", " ").replace("/", " "))
-    body_terms = _terms(" ".join(core))
-    return {
-        "residue": residue,
-        "filler": filler,
-        "core_words": core_words,
-        "sentence_words": sentences,
-        "noted_words": noted_words,
-        "notice": sorted(notice),
-        "mismatched": not (slug & body_terms),
-        "response": xxhash.xxh3_64_intdigest(_bare(_CODE.sub("#", " ".join(core))).encode()) - 2**63,
-    }
+    longest = len(title or "") + len(domain or "")
+    kept = []
+    for x in lines:
+        if len(x) <= longest:
+            flat = _bare(_CODE.sub("", x))
+            if flat and (flat == brand or (len(flat) > 6 and flat in heading)):
+                continue
+        kept.append(x)
+    kept = kept or lines
+    return [(x, k == 0 and len(kept) > 1 and x.rstrip()[-1] not in _ENDED) for k, x in enumerate(kept)]
+
+
+def detected(title: str | None, lines: list[str]) -> tuple[int, int]:
+    """How many placeholders, and how many lines of filler."""
+    every = [title or "", *lines]
+    return sum(len(placeholders(x)) for x in every if any(c in x for c in "{}%@[]#_<$|")), sum(map(is_filler, every))
+
+
+def mismatches(url: str | None, title: str | None, body: list[tuple[str, bool]]) -> tuple[bool, bool]:
+    """Whether the last part of the address shares no term with the body's sentences, and none with the title."""
+    path = re.sub(r"^\w+://[^/]*|[?#].*$", "", url or "").rstrip("/").rsplit("/", 1)[-1]
+    slug = _terms(path.replace("-", " "))
+    return not slug & _terms(" ".join(x for x, heading in body if not heading)), not slug & _terms(title)
+
+
+def lines_of(body: str | None) -> list[str]:
+    return [line for line in (body or "").split("\n") if line and not line.isspace()]
+
+
+def _pages_schema() -> str:
+    clause = "array<struct<key:bigint,size:int,heading:boolean,noted:boolean>>"
+    return f"page_id long, domain string, residue int, filler int, slug_mismatch boolean, title_mismatch boolean, failed boolean, long boolean, clauses {clause}"
+
+
+def measure(url: str | None, domain: str | None, title: str | None, body: str | None, status: int | None) -> dict:
+    """What one page shows by itself. Only teaching responses carry their clauses; longer ones are read again once those are known."""
+    lines = lines_of(body)
+    residue, filler = detected(title, lines)
+    own = own_lines(title, domain, lines)
+    slug, head = mismatches(url, title, own)
+    long = sum(len(x.split()) for x, _ in own) > TEACHING_WORDS
+    clauses = []
+    if not long:
+        for line, heading in own:
+            noted = _is_notice(line)
+            clauses += [{"key": clause_key(x), "size": len(x), "heading": heading, "noted": noted} for x in clauses_of(line)]
+    return {"residue": residue, "filler": filler, "slug_mismatch": slug, "title_mismatch": head, "failed": (status or 0) >= 400, "long": long, "clauses": clauses}
+
+
+def _is_notice(line: str) -> bool:
+    return (NOTICE.search(line) is not None or LOADING.match(line) is not None) and SPOKEN_OF.search(line) is None
+
+
+def familiar_text(title: str | None, domain: str | None, body: str | None, familiar: frozenset) -> float:
+    """Share of a long page's own text that familiar clauses make up; 0 as soon as it cannot reach half any more."""
+    own = own_lines(title, domain, lines_of(body))
+    total = sum(len(x) for x, _ in own)
+    known = unknown = 0
+    for line, heading in own:
+        for x in clauses_of(line):
+            if clause_key(x) in familiar:
+                known += len(x)
+            elif not heading:
+                unknown += len(x)
+        if unknown * 2 > total:
+            return 0.0
+    return known / (known + unknown) if known else 0.0
+
+
+def _familiar(taught: DataFrame) -> DataFrame:
+    """(key, addresses, hosts): the clauses of teaching responses that recur. As each stands on a set share of those responses, their
+    number is bounded by the clauses a response holds over that share, whatever the corpus."""
+    each = taught.select("domain", F.explode(F.array_distinct(F.col("clauses.key"))).alias("key"))
+    hosts = each.groupBy("key", "domain").agg(F.count("*").alias("n"))
+    counted = hosts.groupBy("key").agg(F.sum("n").alias("addresses"), F.count("*").alias("hosts"))
+    responses = taught.agg(F.count("*").alias("responses"))
+    least = F.greatest(F.lit(float(LEAST_ADDRESSES)), F.col("responses") * FAMILIAR_SHARE)
+    # One row on the right.
+    met = counted.join(F.broadcast(responses), F.lit(True))
+    return met.where(F.col("addresses") >= F.when(F.col("hosts") >= LEAST_HOSTS, least).otherwise(3 * least)).select("key", "addresses", "hosts")
 
 
 def evidence(pages: DataFrame) -> DataFrame:
-    """One row per page_id with the evidence, `addresses` (how many pages of all hosts gave the same
-    low-information response), `host_addresses` (of the same host), and `excluded`.
+    """One row per page_id: residue and filler (how many detectors hit), familiar (share of its own text in familiar clauses),
+    addresses and hosts (of its most widespread clause), slug_mismatch, title_mismatch, failed (an error status), noted, score,
+    and excluded.
 
     Null page_ids are dropped, redelivered rows count once; null or blank titles and bodies give no
-    evidence; an empty body alone is never excluded.
+    evidence; an empty body alone is never excluded. An empty table gives an empty result.
     """
+    schema = _pages_schema()
+    names = ["residue", "filler", "slug_mismatch", "title_mismatch", "failed", "long", "clauses"]
+    columns = ["url", "domain", "title", "body_text", "status"]
 
     def over(c: dict[str, list]) -> dict[str, list]:
-        rows = [measure(*x) for x in zip(c["url"], c["domain"], c["title"], c["body_text"])]
-        return {"page_id": c["page_id"], "domain": c["domain"]} | {k: [r[k] for r in rows] for k in ("residue", "filler", "core_words", "sentence_words", "noted_words", "notice", "mismatched", "response")}
+        rows = [measure(*x) for x in zip(*(c[k] for k in columns))]
+        return {"page_id": c["page_id"], "domain": c["domain"]} | {k: [r[k] for r in rows] for k in names}
 
-    schema = "page_id long, domain string, residue int, filler int, core_words int, sentence_words int, noted_words int, notice array<string>, mismatched boolean, response long"
-    columns = ["url", "domain", "title", "body_text"]
-    measured = map_rows(pages.where(F.col("page_id").isNotNull()).select("page_id", *columns), over, schema)
+    given = pages.where(F.col("page_id").isNotNull())
     # Deliveries of a page are equal, so what was measured is deduplicated rather than the texts.
-    measured = written(one_delivery(measured, "page_id", [x.split()[0] for x in schema.split(", ")]), "residue")
-    low = measured.where(F.col("response").isNotNull())
-    hosts = low.groupBy("response", "domain").agg(F.count("*").alias("host_addresses"))
-    everywhere = hosts.groupBy("response").agg(F.sum("host_addresses").alias("addresses")).where(F.col("addresses") >= DUPLICATED)
-    repeated = hosts.join(everywhere, "response")
-    joined = measured.join(repeated, ["response", "domain"], "left").na.fill(0, ["addresses", "host_addresses"])
-    short = F.col("response").isNotNull()
-    noted = F.size("notice") > 0
-    mostly = F.col("noted_words") * 2 >= F.col("sentence_words")
-    told = short & noted & (mostly | (F.col("mismatched") & (F.col("addresses") >= DUPLICATED)))
-    return joined.withColumn("excluded", (F.col("residue") > 0) | (F.col("filler") > 0) | F.coalesce(told, F.lit(False)))
+    measured = written(one_delivery(map_rows(given.select("page_id", *columns), over, schema), "page_id", ["domain", *names]), "residue")
+    familiar = written(_familiar(measured.where(~F.col("long") & (F.size("clauses") > 0))), "familiar-clauses")
+    clause = measured.where(F.size("clauses") > 0).select("page_id", F.explode("clauses").alias("c")).select("page_id", "c.*").join(familiar, "key", "left")
+    known = F.when(F.col("addresses").isNotNull(), 1.0).otherwise(0.0)
+    least = F.greatest(known, F.col("noted").cast("double") * (NOTICE_WEIGHT + F.lit(1 / LEAST_ADDRESSES)))
+    weight = F.sum(F.col("size") * least)
+    unknown = F.sum(F.when(~F.col("heading"), F.col("size") * (1 - least)).otherwise(0.0))
+    short = clause.groupBy("page_id").agg(
+        F.coalesce(weight / F.nullif(weight + unknown, F.lit(0.0)), F.lit(0.0)).alias("familiar"),
+        F.max("addresses").alias("addresses"), F.max("hosts").alias("hosts"), F.max("noted").alias("noted"),
+    )
+    # At most TEACHING_WORDS / FAMILIAR_SHARE keys, see _familiar.
+    keys = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in familiar.select("key").collect()))
+
+    def again(c: dict[str, list]) -> dict[str, list]:
+        return {"page_id": c["page_id"], "familiar": [familiar_text(t, d, b, keys.value) for t, d, b in zip(c["title"], c["domain"], c["body_text"])]}
+
+    longer = given.where(F.length("body_text") > 2 * TEACHING_WORDS).select("page_id", "domain", "title", "body_text")
+    longer = one_delivery(map_rows(longer, again, "page_id long, familiar double").where("familiar > 0"), "page_id", ["familiar"])
+    longer = longer.join(measured.where("long").select("page_id"), "page_id", "left_semi").select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("addresses", "long"), ("hosts", "long"), ("noted", "boolean"))])
+    joined = measured.drop("clauses", "long").join(short.unionByName(longer), "page_id", "left").na.fill(0, ["familiar", "addresses", "hosts"]).na.fill(False, ["noted"])
+    flag = lambda name, weight: F.col(name).cast("double") * weight
+    score = F.col("familiar") + flag("slug_mismatch", SLUG_WEIGHT) + flag("title_mismatch", TITLE_WEIGHT) + flag("failed", STATUS_WEIGHT)
+    joined = joined.withColumn("score", F.when(F.col("familiar") > 0, score).otherwise(0.0))
+    return joined.withColumn("excluded", (F.col("residue") > 0) | (F.col("filler") > 0) | (F.col("score") >= EXCLUDED_FROM))
 
 
 def found(pages: DataFrame) -> DataFrame:

@@ -160,27 +160,40 @@ def test_min_and_max_estimate_similarity():
 # p2, p5, p6, p10
 
 
-@pytest.mark.parametrize(
-    ("title", "body", "found"),
-    [
-        ("Fine", PROSE * 4, False),
-        ("Fine", PROSE + "Dear {{ user.name }}, welcome. " + PROSE, True),
-        ("%%headline%%", PROSE * 4, True),
-        ("Fine", PROSE + "A pattern like ${name} in the guide stands for the value. " + PROSE, False),
-        ("Fine", "Lorem ipsum dolor sit amet consectetur adipiscing elit.", True),
-        ("Fine", "Printers used dummy Latin, lorem and ipsum and so on, to fill the page before the words came.", False),
-        ("Not found", "The page you asked for could not be found.", True),
-        ("Fine", "Please enable JavaScript to view this page.", True),
-        ("Fine", "If the login screen says access denied, the old key is lost. " + PROSE * 4, False),
-        ("Wartung", "Hier wird gebaut, wir sind bald zurück.", True),
-        ("Fine", "", False),
-        (None, None, False),
-    ],
-)
-def test_residue(title, body, found):
-    m = residue.measure("https://site.example/a/fine-page", "site.example", title, body)
-    told = m["response"] is not None and m["notice"] and 2 * m["noted_words"] >= m["sentence_words"]
-    assert bool(m["residue"] or m["filler"] or told) is found
+RESIDUE = [
+    ("Fine", PROSE * 4, False),
+    ("Fine", PROSE + "Dear {{ user.name }}, welcome. " + PROSE, True),
+    ("%%headline%%", PROSE * 4, True),
+    ("Fine", PROSE + "A pattern like ${name} in the guide stands for the value. " + PROSE, False),
+    ("Fine", "Lorem ipsum dolor sit amet consectetur adipiscing elit.", True),
+    ("Fine", "Printers used dummy Latin, lorem and ipsum and so on, to fill the page before the words came.", False),
+    ("Not found", "The page you asked for could not be found.", True),
+    ("Fine", "Please enable JavaScript to view this page.", True),
+    ("Fine", "If the login screen says access denied, the old key is lost. " + PROSE * 4, False),
+    ("Wartung", "Hier wird gebaut, wir sind bald zurück.", True),
+    ("Fine", "", False),
+    (None, None, False),
+]
+
+
+def test_residue(spark):
+    rows = [{"page_id": k, "url": f"https://site.example/a/old-lamp-{k}", "domain": "site.example", "title": t, "body_text": b} for k, (t, b, _) in enumerate(RESIDUE)]
+    found = {r.page_id for r in residue.found(pages(spark, rows)).collect()}
+    assert found == {k for k, (_, _, expected) in enumerate(RESIDUE) if expected}
+
+
+def test_responses_that_many_hosts_give(spark):
+    """No word of these notices is on a list: that several hosts answer so is what tells, for long responses too."""
+    said = "Our kettle is resting. Ring the bell and come again (code 4711)."
+    own = [f"The {w} of {w} was {w}er than the {w} we knew. It {w}s well." for w in ("larb", "mord", "quil", "sten", "trov", "vash")]
+    rows = [{"page_id": k, "url": f"https://h{k % 3}.example/a/thin-lamp-{k}", "domain": f"h{k % 3}.example", "title": f"Lamp {k}", "body_text": f"{said.replace('4711', str(k * 97))}"} for k in range(9)]
+    rows += [{"page_id": 20 + k, "url": f"https://h{k % 3}.example/a/{own[k].split()[1]}", "domain": f"h{k % 3}.example", "title": own[k].split()[1], "body_text": own[k]} for k in range(6)]
+    rows.append({"page_id": 40, "url": "https://h1.example/a/grey-door", "domain": "h1.example", "title": "Door", "status": 503, "body_text": f"{said}\n" * 9})
+    rows.append({"page_id": 41, "url": "https://h1.example/a/grey-door-2", "domain": "h1.example", "title": "Door", "body_text": f"{said}\n{PROSE * 9}"})
+    table = pages(spark, rows + rows[:2])
+    got = {r.page_id: r for r in residue.evidence(table).collect()}
+    assert {k for k, r in got.items() if r.excluded} == {*range(9), 40}
+    assert got[0].addresses == 9 and got[0].hosts == 3 and not got[0].noted and got[40].familiar == 1.0 and got[41].familiar < 0.5
 
 
 @pytest.mark.parametrize("line", ["blah, blah, blah.", "Lorem, ipsum, dolor, sit, amet.", '"Lorem ipsum"', "lorem-ipsum", "foo/bar/baz"])
