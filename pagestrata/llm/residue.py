@@ -139,7 +139,7 @@ def _bare(text: str) -> str:
 
 
 _CLAUSE_END = re.compile(r"[.!?…。！？]+(?:\s|$)|\.{2,}|[,;:、，：]\s*")
-_MACHINE = re.compile(r"\S*[\d/_\\@]\S*")
+_MACHINE = re.compile(r"[\d/_\\@]")
 _NOT_WORD = re.compile(r"[^\w#]+")
 _ENDED = frozenset(".!?…。！？")
 
@@ -148,7 +148,9 @@ def clauses_of(line: str) -> list[str]:
     """Clauses of a line in lower case, without punctuation; tokens with digits, paths and the like are masked."""
     out = []
     for piece in _CLAUSE_END.split(line):
-        words = _NOT_WORD.sub(" ", _MACHINE.sub("#", piece)).strip().casefold()
+        if _MACHINE.search(piece):
+            piece = " ".join("#" if _MACHINE.search(w) else w for w in piece.split())
+        words = _NOT_WORD.sub(" ", piece).strip().casefold()
         if words and words.strip("# "):
             out.append(words)
     return out
