@@ -42,8 +42,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixture(spark: SparkSession, sf_dir: str, of_corpus: bool = False) -> tuple[DataFrame, DataFrame]:
     """Copies and shares; of_corpus asks for as many tokens as all documents have, so that small sources are clamped."""
     documents = table(spark, sf_dir, "documents")
-    encoded = tokens.encode_corpus(documents.select("doc_id", "text", "source"), tokens.vocabulary(), keep=["source"])
-    sized = written(encoded.select("doc_id", "source", F.size("ids").alias("size")), "token-sizes")
+    sized = written(tokens.count_tokens(documents, tokens.vocabulary(), keep=["source"]), "token-sizes")
     budget = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] if of_corpus else None
     return mixture.mix(sized, table(spark, sf_dir, "mix_targets"), budget)
 

@@ -6,13 +6,17 @@ and the ranks of all adjacent pairs, merges the pair of lowest rank, and renews
 until no pair has a rank. The ids then go back to the texts by a join on the word.
 
 Ranks come from a literal map of the vocabulary (its size is fixed, about 50,000 entries), spread over
-buckets so that a look-up scans a handful of keys.
+buckets so that a look-up scans a handful of keys. Bytes stand as the characters of the same number.
+A fold copies its state at every merge, so words beyond LONG_WORD bytes, which no text of a language holds but
+runs of blanks or encoded data do, are merged in the same order with a heap, in Arrow batches. Texts
+beyond BLOCK_WORDS words are encoded in blocks of so many and put together again.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import json
 import os
 import zlib
@@ -20,6 +24,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.llm.rows import map_rows
 from pagestrata.runtime import written
 
 DEFAULT_VOCABULARY = os.environ.get("PAGESTRATA_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
@@ -27,6 +32,8 @@ DEFAULT_VOCABULARY = os.environ.get("PAGESTRATA_TOKENIZERS", "/opt/tokenizers")
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 16384
 NO_RANK = 1 << 30
+LONG_WORD = 2000
+BLOCK_WORDS = 4096
 
 
 class Vocabulary:
@@ -40,10 +47,15 @@ class Vocabulary:
     def _pieces_json(self) -> str:
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         for piece, rank in self.ranks.items():
-            key = piece.hex().upper()
+            key = piece.decode("latin-1")
             buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
         return json.dumps(buckets, separators=(",", ":"))
 
+    @functools.cached_property
+    def _byte_pairs_json(self) -> str:
+        """Rank of each pair of bytes, by first * 256 + second."""
+        return json.dumps([self.ranks.get(bytes((x, y)), NO_RANK) for x in range(256) for y in range(256)], separators=(",", ":"))
+
     @functools.cached_property
     def _words_json(self) -> str:
         buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
@@ -62,10 +74,13 @@ class Vocabulary:
             pieces[rank] = piece.hex().upper()
         return json.dumps(pieces, separators=(",", ":"))
 
-    def rank_of(self, hexed: Column) -> Column:
-        """Rank of a byte piece, given in hex; NO_RANK where the vocabulary lacks it."""
+    def rank_of(self, piece: Column) -> Column:
+        """Rank of a byte piece; NO_RANK for null and where the vocabulary lacks it."""
         table = F.from_json(F.lit(self._pieces_json), "array<map<string,int>>")
-        return F.coalesce(F.get(table, (F.crc32(hexed) % BUCKETS).cast("int"))[hexed], F.lit(NO_RANK))
+        return F.coalesce(F.get(table, (F.crc32(piece) % BUCKETS).cast("int"))[piece], F.lit(NO_RANK))
+
+    def rank_of_bytes(self, first: Column, second: Column) -> Column:
+        return F.get(F.from_json(F.lit(self._byte_pairs_json), "array<int>"), first * 256 + second)
 
     def id_of_word(self, word: Column) -> Column:
         """Id of a word that is one token, else null."""
@@ -90,58 +105,92 @@ def _let(value: Column, body) -> Column:
 def merged_ids(word: Column, vocab: Vocabulary) -> Column:
     """Token ids of one word by a fold of ranked merges over its byte array.
 
-    The state holds the byte pieces (hex), their ids, and the rank of each adjacent pair. The first step
-    ranks all pairs. Each later one merges the leftmost pair of lowest rank, whose rank is the id of the
-    merged piece, and ranks the two pairs beside it; without any ranked pair it leaves the state as it is.
-    The rank map stands in the expression once, as a plan carries each copy of a literal along.
+    The state holds the byte pieces between two nulls, and the rank of each adjacent pair (none beside a null). Each step
+    merges the leftmost pair of lowest rank and ranks the two pairs beside it; without any ranked pair it leaves the
+    state as it is. The last step ranks the pieces themselves: these ranks are the ids. The rank map stands in
+    the expression once, as a plan carries each copy of a literal along.
     """
-    hexed = F.hex(F.encode(word, "UTF-8"))
-    count = (F.length(hexed) / 2).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
-    none = F.array().cast("array<string>")
-    bytes_ids = F.lit([vocab.ranks[bytes([b])] for b in range(256)])
-
-    def action(state: Column, k: Column) -> Column:
-        """Where to merge (0: nowhere yet, -1: nowhere any more), the merged piece, and the pairs to rank."""
+    bytes_of = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    count = F.octet_length(word)
+    nothing = F.array(F.lit(None).cast("string"))
+    characters = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(bytes_of, i, F.lit(1)))
+
+    def start(pieces: Column) -> Column:
+        def ranked(codes: Column) -> Column:
+            pairs = F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), lambda x, i: vocab.rank_of_bytes(x, F.get(codes, i + 1)))
+            return F.struct(F.concat(nothing, pieces, nothing).alias("parts"), F.concat(F.array(F.lit(NO_RANK)), pairs, F.array(F.lit(NO_RANK))).alias("ranks"))
+
+        return _let(F.transform(pieces, F.ascii), ranked)
+
+    def step(state: Column, k: Column) -> Column:
         parts, ranks = state["parts"], state["ranks"]
 
-        def merge(p: Column) -> Column:
-            def beside(joined: Column) -> Column:
-                left = F.when(p > 1, F.array(F.concat(F.get(parts, p - 2), joined))).otherwise(none)
-                right = F.when(p + 1 < F.size(parts), F.array(F.concat(joined, F.get(parts, p + 1)))).otherwise(none)
-                return F.struct(p.alias("p"), joined.alias("joined"), F.concat(left, right).alias("pairs"))
+        def at(place: Column) -> Column:
+            """place: 0 in the last step, -1 where nothing is left to merge, else that of the pair."""
 
-            return _let(F.concat(F.get(parts, p - 1), F.get(parts, p)), beside)
+            def merge(joined: Column) -> Column:
+                beside = F.array(F.concat(F.get(parts, place - 2), joined), F.concat(joined, F.get(parts, place + 1)))
+                asked = F.when(place == 0, parts).when(place > 0, beside).otherwise(F.slice(parts, 1, 0))
 
-        every = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.concat(x, F.get(parts, i + 1)))
-        first = F.struct(F.lit(0).alias("p"), F.lit("").alias("joined"), every.alias("pairs"))
-        last = F.struct(F.lit(-1).alias("p"), F.lit("").alias("joined"), none.alias("pairs"))
-        return F.when(k == 0, first).otherwise(
-            _let(F.array_min(ranks), lambda best: F.when(best < NO_RANK, _let(F.array_position(ranks, best).cast("int"), merge)).otherwise(last))
-        )
+                def renew(fresh: Column) -> Column:
+                    merged = F.struct(
+                        F.concat(F.slice(parts, F.lit(1), place - 1), F.array(joined), F.slice(parts, place + 2, F.size(parts))).alias("parts"),
+                        F.concat(F.slice(ranks, F.lit(1), place - 2), fresh, F.slice(ranks, place + 2, F.size(ranks))).alias("ranks"),
+                    )
+                    return F.when(place > 0, merged).when(place == 0, F.struct(parts.alias("parts"), fresh.alias("ranks"))).otherwise(state)
 
-    def step(state: Column, k: Column) -> Column:
-        parts, ids, ranks = state["parts"], state["ids"], state["ranks"]
+                return _let(F.transform(asked, vocab.rank_of), renew)
+
+            return _let(F.concat(F.get(parts, place - 1), F.get(parts, place)), merge)
+
+        lowest = lambda best: F.when(k == count, 0).when(best < NO_RANK, F.array_position(ranks, best).cast("int")).otherwise(-1)
+        return _let(_let(F.array_min(ranks), lowest), at)
 
-        def apply(act: Column) -> Column:
-            p = act["p"]
+    return F.aggregate(F.sequence(F.lit(1), count), _let(characters, start), step, lambda state: F.filter(state["ranks"], lambda r: r < NO_RANK))
 
-            def renew(fresh: Column) -> Column:
-                merged = F.struct(
-                    F.concat(F.slice(parts, F.lit(1), p - 1), F.array(act["joined"]), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(ids, F.lit(1), p - 1), F.array(F.get(ranks, p - 1)), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                    F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), fresh, F.slice(ranks, p + 2, F.size(ranks))).alias("ranks"),
-                )
-                ranked = F.struct(parts.alias("parts"), ids.alias("ids"), fresh.alias("ranks"))
-                return F.when(p > 0, merged).when(p == 0, ranked).otherwise(state)
 
-            return _let(F.transform(act["pairs"], vocab.rank_of), renew)
+def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of a long word: the same merges, lowest rank and then leftmost first, from a heap of pairs."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        # A pair that was merged meanwhile, or whose pieces have grown, is stale.
+        if end[i] <= i or end[i] >= n or end[end[i]] != stop:
+            continue
+        j = end[i]
+        end[i], end[j] = stop, -1
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
 
-        return _let(action(state, k), apply)
 
-    ids = F.transform(pieces, lambda x: F.get(bytes_ids, F.conv(x, 16, 10).cast("int")))
-    start = F.struct(pieces.alias("parts"), ids.alias("ids"), F.array().cast("array<int>").alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(0), count - 1), start, step, lambda state: state["ids"])
+def _spelled(rare: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(__word, __ids) of distinct words that are no token."""
+    long = F.octet_length("__word") > LONG_WORD
+    folded = rare.where(~long).select("__word", merged_ids(F.col("__word"), vocab).alias("__ids"))
+    if not rare.where(long).limit(1).count():
+        return folded
+    carried = rare.sparkSession.sparkContext.broadcast(vocab.ranks)
+
+    def merge(c: dict[str, list]) -> dict[str, list]:
+        return {"__word": c["__word"], "__ids": [heap_ids(w.encode("utf-8", "surrogatepass"), carried.value) for w in c["__word"]]}
+
+    return folded.unionByName(map_rows(rare.where(long), merge, "__word string, __ids array<int>"))
+
+
+def _words(documents: DataFrame, text_column: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(SPLIT), F.lit(0))
 
 
 def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -152,31 +201,49 @@ def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc
     an empty result. Texts of any length are encoded whole.
     """
     kept = keep or []
-    words = documents.select(*kept, F.col(id_column).alias("__id"), F.regexp_extract_all(F.coalesce(F.col(text_column), F.lit("")), F.lit(SPLIT), F.lit(0)).alias("__words"))
-    words = words.select(*kept, "__id", "__words", F.transform("__words", vocab.id_of_word).alias("__known"))
-    words = words.select(*kept, "__id", "__words", "__known", F.array_distinct(F.filter("__words", lambda w, i: F.get(F.col("__known"), i).isNull())).alias("__rare"))
-    coded = words.select(
-        F.monotonically_increasing_id().alias("__row"),
-        "__id",
-        *kept,
-        F.transform("__known", lambda c, i: F.coalesce(c, -F.array_position(F.col("__rare"), F.get(F.col("__words"), i)).cast("int"))).alias("__codes"),
-        "__rare",
-    )
-    coded = written(coded, "token-codes")
-    rare = coded.select(F.explode("__rare").alias("__word")).distinct()
-    spelled = written(rare.select("__word", merged_ids(F.col("__word"), vocab).alias("__ids")), "token-words")
+    words = documents.select(*kept, F.col(id_column).alias("__id"), F.monotonically_increasing_id().alias("__row"), _words(documents, text_column).alias("__all"))
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("__all") - 1) / BLOCK_WORDS).cast("int")))
+    words = words.select(*kept, "__id", "__row", (F.size("__all") > BLOCK_WORDS).alias("__long"), "__all", F.explode(parts).alias("__block"))
+    words = words.select(*kept, "__id", "__row", "__long", "__block", F.slice("__all", F.col("__block") * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS)).alias("__words"))
+    words = words.withColumn("__known", F.transform("__words", vocab.id_of_word))
+    words = words.withColumn("__rare", F.array_distinct(F.filter("__words", lambda w, i: F.get(F.col("__known"), i).isNull())))
+    codes = F.transform("__known", lambda c, i: F.coalesce(c, -F.array_position(F.col("__rare"), F.get(F.col("__words"), i)).cast("int")))
+    coded = written(words.select("__row", "__block", "__long", "__id", *kept, codes.alias("__codes"), "__rare"), "token-codes")
+    rare = written(coded.select(F.explode("__rare").alias("__word")).distinct(), "rare-words")
+    spelled = written(_spelled(rare, vocab), "token-words")
     found = (
-        coded.select("__row", F.posexplode("__rare").alias("__at", "__word"))
+        coded.select("__row", "__block", F.posexplode("__rare").alias("__at", "__word"))
         .join(spelled, "__word")
-        .groupBy("__row")
+        .groupBy("__row", "__block")
         .agg(F.array_sort(F.collect_list(F.struct("__at", "__ids"))).alias("__spelled"))
-        .select("__row", F.col("__spelled.__ids").alias("__spelled"))
+        .select("__row", "__block", F.col("__spelled.__ids").alias("__spelled"))
     )
-    return coded.select("__row", "__id", *kept, "__codes").join(found, "__row", "left").select(
-        F.col("__id").alias(id_column),
-        F.flatten(F.transform("__codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("__spelled"), -c - 1)))).alias("ids"),
-        *kept,
+    placed = F.flatten(F.transform("__codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("__spelled"), -c - 1))))
+    encoded = coded.drop("__rare").join(found, ["__row", "__block"], "left").select("__row", "__block", "__long", "__id", *kept, placed.alias("ids"))
+    out = [F.col("__id").alias(id_column), F.col("ids"), *kept]
+    whole = encoded.where("__long").groupBy("__row").agg(
+        F.first("__id").alias("__id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__block", "ids"))), lambda b: b["ids"])).alias("ids"), *[F.first(k).alias(k) for k in kept]
     )
+    return encoded.where(~F.col("__long")).select(*out).unionByName(whole.select(*out))
+
+
+def count_tokens(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc_id", text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, size, and the columns in keep) of every row: how many ids encode_corpus gives it, without making them.
+
+    Words that are tokens are counted where they stand; of the others only the distinct ones of each text, with how often it has them,
+    are met with their sizes. The cases are those of encode_corpus.
+    """
+    kept = keep or []
+    words = documents.select(*kept, F.col(id_column).alias("__id"), F.monotonically_increasing_id().alias("__row"), _words(documents, text_column).alias("__words"))
+    rare = F.filter("__words", lambda w: vocab.id_of_word(w).isNull())
+    coded = words.select("__row", "__id", *kept, F.size("__words").alias("__all"), rare.alias("__rare"))
+    coded = written(coded, "token-counts")
+    each = coded.select("__row", F.explode("__rare").alias("__word"))
+    distinct = written(each.select("__word").distinct(), "rare-words")
+    spelled = _spelled(distinct, vocab).select("__word", (F.size("__ids") - 1).alias("__more"))
+    more = each.join(written(spelled, "token-sizes"), "__word").groupBy("__row").agg(F.sum("__more").alias("__more"))
+    size = F.col("__all") + F.coalesce("__more", F.lit(0))
+    return coded.drop("__rare").join(more, "__row", "left").select(F.col("__id").alias(id_column), size.cast("long").alias("size"), *kept)
 
 
 def decoded(ids: Column, vocab: Vocabulary) -> Column:

@@ -37,6 +37,25 @@ def test_encoding_equals_the_library_and_decodes(spark):
     for text in texts:
         assert by_text[text or ""] == library.encode_ordinary(text or "")
     assert tokens.encode_corpus(table.limit(0), vocab).count() == 0
+    sizes = sorted(r["size"] for r in tokens.count_tokens(table, vocab).collect())
+    assert sizes == sorted(len(library.encode_ordinary(t or "")) for t in texts) and tokens.count_tokens(table.limit(0), vocab).count() == 0
+
+
+def test_long_words_and_long_texts(spark):
+    """Beyond LONG_WORD bytes the merges come from a heap, beyond BLOCK_WORDS words a text is encoded in blocks: both change nothing."""
+    import tiktoken
+
+    vocab = tokens.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=tokens.SPLIT.removeprefix("(?U)"), mergeable_ranks=vocab.ranks, special_tokens={})
+    rng = random.Random(8)
+    texts = ["x" * 1_000_000, "".join(rng.choice("ABCDefgh") for _ in range(300_000)), f"{PROSE}xqzzy " * 2000, PROSE]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokens.encode_corpus(table, vocab).collect()}
+    pieces = {i: piece for piece, i in vocab.ranks.items()}
+    assert b"".join(pieces[i] for i in got[0]) == texts[0].encode()
+    assert [got[k] for k in (1, 2, 3)] == [library.encode_ordinary(texts[k]) for k in (1, 2, 3)]
+    for word in (b"xx", b"abcabc", b"  \n", "naïveté".encode(), b"A" * 300):
+        assert tokens.heap_ids(word, vocab.ranks) == library._encode_single_piece(word)
 
 
 # p9
