@@ -1,15 +1,17 @@
 """Markup to visible text blocks: a small tree builder with implied end tags and visibility rules.
 
-Every block element, table row and list item becomes one line; list items keep their bullet or number, the
-cells of a row are set apart by tabs, preformatted text keeps its spacing. Elements that are not rendered
-(scripts, styles, templates, hidden or aria-hidden elements, display:none) give nothing. Text without any
-markup passes through: each of its lines is a block already.
+Every block element, table row and list item becomes one block; list items keep their bullet or number, the
+cells of a table are aligned in columns, preformatted text keeps its spacing. Elements that are not rendered
+(scripts, styles, templates, hidden or aria-hidden elements, display:none) give nothing. Each block knows the role that its
+elements give it: outside (navigation, banner, footer, sidebar, dialog), heading, list, table or none. Text without any
+markup passes through: each of its lines is a block without a role already.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 # Element classes of the HTML standard.
 BLOCK = frozenset(
@@ -31,29 +33,57 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 P_CLOSERS = BLOCK - {"option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "html", "body", "legend", "summary", "figcaption"} | {"li", "dt", "dd"}
-MARKUP = re.compile(r"<(?:!doctype|html|body|div|p|ul|ol|li|table|tr|td|h[1-6]|section|article|nav|header|footer|span|a|br|main|aside)\b[^>]*>", re.I)
+# Elements and roles beside a page's main content; banners and footers only where no sectioning element holds them.
+OUTSIDE = frozenset("nav aside menu dialog".split())
+OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split())
+SECTIONED = frozenset("article main section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+DOCUMENT = re.compile(r"^\s*<[a-z!]|<(?:!doctype|html|body)\b", re.I)
+CLOSING = re.compile(r"</(?:p|div|li|td|tr|h[1-6]|ul|ol|table|section|article|nav|header|footer|main)\s*>", re.I)
+# So many closing tags make a text that does not begin with one a piece of markup.
+LEAST_CLOSING = 5
+
+
+class Block(NamedTuple):
+    text: str
+    role: str = ""
+
+
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, str]] = []
         self.unseen = 0
         self.counters: list[int | None] = []
-        self.lines: list[str] = []
+        self.blocks: list[Block] = []
         self.current: list[str] = []
         self.prefix = ""
-        self.cell = False
+        self.tables: list[list[list[str]]] = []
+
+    def _role(self) -> str:
+        tags = [t for t, _, _ in self.open]
+        for k, (tag, _, role) in enumerate(self.open):
+            if tag in OUTSIDE or role in OUTSIDE_ROLES or (tag in ("header", "footer") and SECTIONED.isdisjoint(tags[:k])):
+                return "outside"
+        inner = [r for t in tags if (r := "heading" if t in HEADINGS else "list" if t in ("li", "dt", "dd") else "table" if t == "table" else "")]
+        return inner[-1] if inner else ""
 
     def flush(self) -> None:
-        pre = any(t == "pre" for t, _ in self.open)
+        if self._in_cell():
+            return
+        pre = any(t == "pre" for t, _, _ in self.open)
         text = "".join(self.current)
-        for piece in text.split("\n") if pre else [re.sub(r"[^\S\t]+", " ", re.sub(r"\n", " ", text)).strip()]:
+        for piece in text.split("\n") if pre else [re.sub(r"\s+", " ", text).strip()]:
             if piece.strip():
-                self.lines.append(self.prefix + piece)
+                self.blocks.append(Block(self.prefix + piece, self._role()))
                 self.prefix = ""
         self.current = []
 
+    def _in_cell(self) -> bool:
+        return any(t in ("td", "th") for t, _, _ in self.open)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES:
             closed, boundary = CLOSES[tag]
@@ -63,18 +93,18 @@ class _Builder(HTMLParser):
         a = dict(attrs)
         style = re.sub(r"\s", "", (a.get("style") or "").lower())
         hidden = tag in UNSEEN or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or (tag == "dialog" and "open" not in a)
-        if tag == "br":
+        if tag == "br" or (tag in BLOCK and self._in_cell()):
             if not self.unseen:
+                self.current.append(" ")
                 self.flush()
-            return
-        if tag in ("td", "th") and self.cell and not self.unseen:
-            self.current.append("\t")
-        elif tag in BLOCK and tag not in ("td", "th") and not self.unseen and not self._in_cell():
+            if tag == "br":
+                return
+        elif tag in BLOCK and tag not in ("td", "th") and not self.unseen:
             self.flush()
-        if tag in ("td", "th"):
-            self.cell = True
-        if tag == "tr":
-            self.cell = False
+        if tag == "table" and not self._in_cell():
+            self.tables.append([])
+        if tag == "tr" and self.tables and not self._in_cell():
+            self.tables[-1].append([])
         if tag in ("ul", "ol", "menu"):
             self.counters.append(0 if tag == "ol" else None)
         if tag == "li" and not self.unseen:
@@ -83,14 +113,17 @@ class _Builder(HTMLParser):
                 self.prefix = f"{self.counters[-1]}. "
             else:
                 self.prefix = "- "
+            if self._in_cell():
+                self.current.append(self.prefix)
+                self.prefix = ""
         if tag in VOID:
             return
-        self.open.append((tag, hidden))
+        if tag in ("td", "th") and not self._in_cell():
+            # Text between cells belongs to none of them.
+            self.current = []
+        self.open.append((tag, hidden, (a.get("role") or "").lower()))
         self.unseen += hidden
 
-    def _in_cell(self) -> bool:
-        return any(t in ("td", "th") for t, _ in self.open)
-
     def _close_within(self, names: set[str], boundary: set[str]) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] in names:
@@ -100,18 +133,34 @@ class _Builder(HTMLParser):
                 return
 
     def _pop(self) -> None:
-        tag, hidden = self.open[-1]
-        if tag in BLOCK and tag not in ("td", "th") and not self.unseen and not self._in_cell():
+        tag, hidden, _ = self.open[-1]
+        cell = tag in ("td", "th")
+        if tag in BLOCK and not cell and not self.unseen:
             self.flush()
         self.open.pop()
+        if cell and not self._in_cell():
+            if self.tables and self.tables[-1] and not self.unseen:
+                self.tables[-1][-1].append(re.sub(r"\s+", " ", "".join(self.current)).strip())
+            self.current = []
         self.unseen -= hidden
+        if tag == "table" and self.tables and not self._in_cell():
+            self._align(self.tables.pop())
         if tag in ("ul", "ol", "menu") and self.counters:
             self.counters.pop()
         if tag == "li":
             self.prefix = ""
 
+    def _align(self, rows: list[list[str]]) -> None:
+        """One block a row, every column as wide as its widest cell."""
+        widths = [max(len(r[k]) for r in rows if len(r) > k) for k in range(max(map(len, rows), default=0))]
+        role = self._role() or "table"
+        for row in rows:
+            text = "  ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip()
+            if text.strip():
+                self.blocks.append(Block(text, role))
+
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.open):
+        if any(t == tag for t, _, _ in self.open):
             while self.open:
                 last = self.open[-1][0]
                 self._pop()
@@ -123,7 +172,7 @@ class _Builder(HTMLParser):
             self.current.append(data)
 
 
-def render(markup: str) -> list[str]:
+def render(markup: str) -> list[Block]:
     """Visible blocks of an HTML document, in order."""
     builder = _Builder()
     builder.feed(markup)
@@ -131,11 +180,16 @@ def render(markup: str) -> list[str]:
     while builder.open:
         builder._pop()
     builder.flush()
-    return builder.lines
+    return builder.blocks
+
+
+def is_markup(body: str) -> bool:
+    """A text that begins with a tag or holds a document's, and closes some element; or that closes many block elements."""
+    if "</" not in body:
+        return False
+    return DOCUMENT.search(body) is not None or sum(1 for _ in CLOSING.finditer(body)) >= LEAST_CLOSING
 
 
-def blocks(body: str) -> list[str]:
+def blocks(body: str) -> list[Block]:
     """Blocks of a page body: rendered markup, or the lines of a text without markup (as many as splitting at newlines gives)."""
-    if "</" in body and MARKUP.search(body) and body.lstrip().startswith("<"):
-        return render(body)
-    return body.split("\n")
+    return render(body) if is_markup(body) else [Block(x) for x in body.split("\n")]

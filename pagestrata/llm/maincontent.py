@@ -1,22 +1,24 @@
 """The main body of pages, without menus, notices, sidebars, teasers and footers.
 
-A page is laid out as a sequence of visible blocks (pagestrata.llm.layout renders markup into such blocks;
-a body that is already text has one block a line). Each block gets a kind from its shape and words. Blocks
-that recur over a host's pages (digits and codes set aside) are the host's furniture, which no single page
-can tell; the recurrence is counted over all pages. Regions then decide: a run of headings that carries
-teaser marks or follows a teaser caption is a teaser list, a heading beside body text is a heading.
+A page is laid out as a sequence of visible blocks: pagestrata.llm.layout renders markup into blocks that know their
+role; a body that is text already has one block a line and no roles. Four kinds of evidence then place each block, in this order:
+layout (the block's elements lie outside the main content), recurrence (blocks that recur over a host's pages, digits and codes set aside,
+are the host's furniture: counted over all its pages, which no single page can tell), words and shape of the block, and region (a run of headings
+that carries teaser marks or follows a teaser caption is a teaser list, a heading beside body text is a heading).
+
+Texts are read once: a page becomes one letter and one key a block, and all else works on these.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
 
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.layout import blocks
+from pagestrata.llm.layout import Block, blocks
 from pagestrata.llm.rows import map_rows
 from pagestrata.runtime import one_delivery, written
 
@@ -34,7 +36,7 @@ NAVIGATION = frozenset(
     ).split(",")
 )
 # How furniture speaks, in short blocks.
-FURNITURE = re.compile(
+FURNITURE_WORDS = re.compile(
     r"^skip to (?:content|main)|^back to top|^nach oben|^zum (?:inhalt|seitenanfang)|^volver arriba|^haut de page|^retour en haut|^наверх|^上へ戻る|^ページの先頭"
     r"|©|\(c\) ?\d{4}|\bcopyright\b|all rights reserved|alle rechte|todos los derechos|tous droits|все права|無断転載"
     r"|\bprivacy (?:policy|choices)|\bterms of use\b|registered office|prices include|delivery costs|preise inkl|precios (?:con|incl)|prix ttc|taxe comprise|impuestos? inclu|цены (?:с|включ)"
@@ -75,6 +77,7 @@ TEASER_RUN = 8
 _CODE = re.compile(r"\b[A-Z]{2}-\d+\b")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
+_FIELD = re.compile(r"[^:]{2,24}:\s+\d")
 _STRIPPED = re.compile(r"[\W_]+")
 
 
@@ -84,6 +87,7 @@ def site_name(domain: str | None) -> str:
     return " ".join(w for w in host.rsplit(".", 1)[0].split("-") if not w.isdigit())
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def line_key(line: str) -> int:
     """A block up to digits, codes, letter case and spacing."""
     masked = _SPACE.sub(" ", _DIGITS.sub("9", _CODE.sub("#", line))).strip().casefold()
@@ -94,94 +98,119 @@ def _flat(text: str) -> str:
     return _STRIPPED.sub("", text.casefold())
 
 
-def _kind(line: str, heading: str, site: str) -> str:
-    """Shape of one block: body, list, furniture, caption, mark (a marked teaser) or heading."""
+# One letter a block: blank, outside by its layout, furniture by its words, caption of teasers, marked teaser, heading, heading in the
+# words of a caption, list item or table row, running text.
+BLANK, OUTSIDE, FURNITURE, CAPTION, MARK, HEADING, CAPTION_HEADING, LIST, BODY = " ofcmhklb"
+
+
+@functools.lru_cache(maxsize=1 << 17)
+def shape(line: str) -> tuple[str, str]:
+    """Letter of one block by its words and shape, and, of a trail that begins at a navigation word, its last part."""
     text = line.strip()
     if not text:
-        return "blank"
+        return BLANK, ""
     words = text.split()
     n = len(words)
-    low = text.casefold()
     cjk = n <= 3 and len(text) >= 12 and not text.isascii()
     sentence = text.endswith(END) and (n >= 4 or cjk)
     if sentence and n > 22:
-        return "body"
+        return BODY, ""
     if n <= 24 and CONSENT.search(text) and CONSENT_ACT.search(text):
-        return "furniture"
-    if n <= 22 and FURNITURE.search(text) and not (sentence and n > 10 and not text[:1] in "©("):
-        return "furniture"
-    if n <= 9 and TEASER_CAPTION.search(text) and not sentence:
-        return "caption"
-    parts = [p.strip() for p in SPLIT.split(text) if p.strip()]
-    named = sum(p.casefold() in NAVIGATION for p in parts)
-    if len(parts) >= 2 and not sentence:
-        if named >= 2 and named >= 0.5 * len(parts):
-            return "furniture"
-        if len(parts) >= 3 and parts[0].casefold() in NAVIGATION:
-            return "furniture"
-        tail = _flat(parts[-1])
-        if parts[0].casefold() in NAVIGATION and (tail == _flat(site) or (tail and tail in heading)):
-            return "furniture"
-    if low in NAVIGATION:
-        return "furniture"
-    if n >= 3 and sum(w.casefold() in NAVIGATION for w in words) >= 0.7 * n and not sentence:
-        return "furniture"
+        return FURNITURE, ""
+    if n <= 22 and FURNITURE_WORDS.search(text) and not (sentence and n > 10 and text[:1] not in "©("):
+        return FURNITURE, ""
+    if n <= 9 and not sentence and TEASER_CAPTION.search(text):
+        return CAPTION, ""
+    tail = ""
+    if not sentence:
+        parts = [p.strip() for p in SPLIT.split(text) if p.strip()]
+        if len(parts) >= 2:
+            named = sum(p.casefold() in NAVIGATION for p in parts)
+            if (named >= 2 and named >= 0.5 * len(parts)) or (len(parts) >= 3 and parts[0].casefold() in NAVIGATION):
+                return FURNITURE, ""
+            if parts[0].casefold() in NAVIGATION:
+                tail = _flat(parts[-1])
+        if n >= 3 and sum(w.casefold() in NAVIGATION for w in words) >= 0.7 * n:
+            return FURNITURE, ""
+    if text.casefold() in NAVIGATION:
+        return FURNITURE, ""
     if BULLET.match(text):
-        return "list"
+        return LIST, tail
     if sentence or n > HEADING_WORDS:
-        return "body"
+        return BODY, tail
     if TEASER_MARK.search(text):
-        return "mark"
-    if re.match(r"^[^:]{2,24}:\s+\d", text):
-        return "list"
-    return "heading"
-
-
-def outside_main(body: str | None, title: str | None, domain: str | None, recurring) -> list[int]:
-    """Line numbers (from 1) of a body that are not main body. recurring(key) tells whether a block is furniture of the host."""
-    lines = blocks(body or "")
-    site = site_name(domain)
-    heading = _flat(_CODE.sub("", title or ""))
-    kinds = []
-    for line in lines:
-        kind = _kind(line, heading, site)
-        if kind not in ("blank", "furniture", "caption") and recurring(line_key(line)):
-            kind = "caption" if kind == "heading" and TEASER_CAPTION.search(line.strip()) else "furniture"
-        kinds.append(kind)
-    out = set()
+        return MARK, tail
+    if _FIELD.match(text):
+        return LIST, tail
+    return (CAPTION_HEADING if TEASER_CAPTION.search(text) else HEADING), tail
+
+
+def block_letter(block: Block, heading: str, site: str) -> str:
+    """Letter of one block, its role and its page's title and site beside its own words."""
+    if block.role == "outside":
+        return OUTSIDE
+    letter, tail = shape(block.text)
+    if tail and (tail == site or tail in heading):
+        return FURNITURE
+    if letter in (BLANK, FURNITURE, CAPTION):
+        return letter
+    return {"heading": HEADING, "list": LIST, "table": LIST}.get(block.role, letter)
+
+
+def laid_out(body: str | None, title: str | None, domain: str | None) -> tuple[str, list[int]]:
+    """Letters and keys of a body's blocks, in order."""
+    site, heading = _flat(site_name(domain)), _flat(_CODE.sub("", title or ""))
+    found = blocks(body or "")
+    return "".join(block_letter(b, heading, site) for b in found), [line_key(b.text) for b in found]
+
+
+def outside_main(letters: str, keys: list[int], recurring) -> list[tuple[int, str]]:
+    """(number from 1, evidence) of the blocks that are not main body. recurring(key) tells whether a block is furniture of the host."""
+    kinds, why = list(letters), {}
+    for k, letter in enumerate(letters):
+        if letter == OUTSIDE:
+            why[k] = "layout"
+        elif letter != BLANK and recurring(keys[k]):
+            why[k] = "recurrence"
+            if letter != CAPTION:
+                kinds[k] = CAPTION if letter == CAPTION_HEADING else FURNITURE
+        elif letter in (FURNITURE, CAPTION):
+            why[k] = "words"
+    title_like = (HEADING, CAPTION_HEADING, MARK)
+    aside = (OUTSIDE, FURNITURE)
     i = 0
     while i < len(kinds):
-        if kinds[i] in ("heading", "mark"):
-            j = i
-            while j < len(kinds) and kinds[j] in ("heading", "mark"):
-                j += 1
-            run = range(i, j)
-            marks = [r for r in run if kinds[r] == "mark"]
-            before = next((kinds[r] for r in range(i - 1, -1, -1) if kinds[r] != "blank"), "")
-            after = next((kinds[r] for r in range(j, len(kinds)) if kinds[r] != "blank"), "")
-            if len(run) > TEASER_RUN:
-                # A listing of the page's own: marked lines are teasers all the same, and so is what stands
-                # between a caption and the marks right after it.
-                out.update(marks)
-                near = [r for r in marks if r < i + TEASER_RUN]
-                if before == "caption" and near:
-                    out.update(range(i, near[-1] + 1))
-            elif before == "caption":
-                out.update(run)
-            elif marks:
-                first, last = marks[0], marks[-1]
-                out.update(range(first, last + 1))
-                # Unmarked neighbours belong to the teasers if furniture lies on their other side.
-                if before == "furniture":
-                    out.update(range(i, first))
-                if after == "furniture":
-                    out.update(range(last + 1, j))
-            i = j
-        else:
-            if kinds[i] in ("furniture", "caption"):
-                out.add(i)
+        if kinds[i] not in title_like:
             i += 1
-    return sorted(x + 1 for x in out)
+            continue
+        j = i
+        while j < len(kinds) and kinds[j] in title_like:
+            j += 1
+        run = range(i, j)
+        marks = [r for r in run if kinds[r] == MARK]
+        before = next((kinds[r] for r in range(i - 1, -1, -1) if kinds[r] != BLANK), "")
+        after = next((kinds[r] for r in range(j, len(kinds)) if kinds[r] != BLANK), "")
+        teasers: set[int] = set()
+        if len(run) > TEASER_RUN:
+            # A listing of the page's own: marked lines are teasers all the same, and so is what stands
+            # between a caption and the marks right after it.
+            teasers.update(marks)
+            near = [r for r in marks if r < i + TEASER_RUN]
+            if before == CAPTION and near:
+                teasers.update(range(i, near[-1] + 1))
+        elif before == CAPTION:
+            teasers.update(run)
+        elif marks:
+            first, last = marks[0], marks[-1]
+            teasers.update(range(first, last + 1))
+            # Unmarked neighbours belong to the teasers if furniture lies on their other side.
+            if before in aside:
+                teasers.update(range(i, first))
+            if after in aside:
+                teasers.update(range(last + 1, j))
+        why.update((r, "region") for r in teasers)
+        i = j
+    return sorted((k + 1, w) for k, w in why.items())
 
 
 def _limit(pages_of_host):
@@ -190,75 +219,85 @@ def _limit(pages_of_host):
     return F.greatest(F.lit(float(LEAST_COPIES)), small, pages_of_host * HOST_SHARE)
 
 
-def recurring_blocks(pages: DataFrame) -> DataFrame:
-    """(domain, keys ARRAY<BIGINT>): the blocks that recur on each host, counted over all its pages.
+# Up to this many keys in all, the recurring blocks travel with the tasks; beyond it pages are joined to them.
+CARRIED_KEYS = 500_000
+HOST_PART = 20_000
 
-    Each batch counts its own blocks before anything is shuffled, so a host with most of the pages sends
-    few rows. A host keeps at most (blocks a page) / HOST_SHARE keys.
-    """
+
+def _lettered(pages: DataFrame) -> DataFrame:
+    """(page_id, domain, letters, keys) of each page with a body, each page once."""
 
     def over(c: dict[str, list]) -> dict[str, list]:
-        counts: Counter = Counter()
-        for domain, body in zip(c["domain"], c["body_text"]):
-            counts[domain, None] += 1
-            counts.update((domain, k) for k in {line_key(x) for x in blocks(body or "") if x and not x.isspace()})
-        return {"domain": [d for d, _ in counts], "key": [k for _, k in counts], "n": list(counts.values())}
+        laid = [laid_out(b, t, d) for b, t, d in zip(c["body_text"], c["title"], c["domain"])]
+        return {"page_id": c["page_id"], "domain": c["domain"], "letters": [x for x, _ in laid], "keys": [k for _, k in laid]}
 
-    counted = map_rows(pages.select("domain", "body_text"), over, "domain string, key long, n long").groupBy("domain", "key").agg(F.sum("n").alias("n"))
-    counted = written(counted, "host-blocks")
-    hosts = counted.where(F.col("key").isNull()).select("domain", F.col("n").alias("pages"))
-    often = counted.where(F.col("key").isNotNull() & (F.col("n") >= LEAST_COPIES)).join(hosts, "domain")
-    return often.where(F.col("n") >= _limit(F.col("pages"))).groupBy("domain").agg(F.collect_list("key").alias("keys"))
+    chosen = pages.where(F.col("page_id").isNotNull() & (F.length("body_text") > 0)).select("page_id", F.coalesce("domain", F.lit("")).alias("domain"), "title", "body_text")
+    return one_delivery(map_rows(chosen, over, "page_id long, domain string, letters string, keys array<long>"), "page_id", ["domain", "letters", "keys"])
 
 
-# Up to this many keys in all, the recurring blocks travel with the tasks; beyond it pages are joined to them.
-CARRIED_KEYS = 500_000
-HOST_PART = 20_000
+def recurring_blocks(lettered: DataFrame) -> DataFrame:
+    """(domain, keys ARRAY<BIGINT>): the blocks that recur on each host, counted over all its pages.
+
+    Counts combine before the shuffle, so a host with most of the pages sends few rows. A host keeps at most
+    (blocks a page) / HOST_SHARE keys.
+    """
+    own = F.array_distinct(F.filter("keys", lambda k, i: F.substring(F.col("letters"), i + 1, F.lit(1)) != BLANK))
+    counted = lettered.select("domain", F.explode(own).alias("key")).groupBy("domain", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COPIES)
+    hosts = lettered.groupBy("domain").agg(F.count("*").alias("pages"))
+    return counted.join(hosts, "domain").where(F.col("n") >= _limit(F.col("pages"))).groupBy("domain").agg(F.collect_list("key").alias("keys"))
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, line_no): the blocks of each page that are not main body, lines counted from 1.
+    """(page_id, line_no, evidence): the blocks of each page that are not main body, counted from 1, and which evidence placed them.
 
-    pages has page_id, domain, title and body_text. Redelivered rows give the same lines and count once.
-    Null or empty bodies give nothing; null domains and titles only weaken the evidence.
+    A block is a line of a text, or what layout.blocks renders of markup. pages has page_id, domain, title and body_text. Redelivered rows
+    count once. Null or empty bodies give nothing; null domains and titles only weaken the evidence. An empty table gives an empty result.
     """
     spark = pages.sparkSession
-    chosen = pages.where(F.col("page_id").isNotNull() & (F.length("body_text") > 0)).select("page_id", F.coalesce("domain", F.lit("")).alias("domain"), "title", "body_text")
-    recurring = written(recurring_blocks(chosen), "recurring-blocks")
-    schema = "page_id long, lines array<int>"
+    lettered = written(_lettered(pages), "page-blocks")
+    recurring = written(recurring_blocks(lettered), "recurring-blocks")
+    schema = "page_id long, outside array<struct<line_no:int,evidence:string>>"
     total = recurring.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+
+    def placed(letters: str, keys: list[int], known) -> list[dict]:
+        return [{"line_no": k, "evidence": why} for k, why in outside_main(letters, keys, known)]
+
     if total <= CARRIED_KEYS:
         carried = spark.sparkContext.broadcast({r["domain"]: frozenset(r["keys"]) for r in recurring.collect()})
 
         def over(c: dict[str, list]) -> dict[str, list]:
             of = carried.value
-            lines = [outside_main(b, t, d, of.get(d, frozenset()).__contains__) for b, t, d in zip(c["body_text"], c["title"], c["domain"])]
-            return {"page_id": c["page_id"], "lines": lines}
+            return {"page_id": c["page_id"], "outside": [placed(x, k, of.get(d, frozenset()).__contains__) for x, k, d in zip(c["letters"], c["keys"], c["domain"])]}
 
-        found = map_rows(chosen, over, schema)
+        found = map_rows(lettered, over, schema)
     else:
         # Too many hosts to carry: co-locate pages with their host's keys, large hosts in several parts.
-        parts = chosen.groupBy("domain").agg(F.ceil(F.count("*") / HOST_PART).cast("int").alias("parts"))
+        parts = lettered.groupBy("domain").agg(F.ceil(F.count("*") / HOST_PART).cast("int").alias("parts"))
         keyed = recurring.join(parts, "domain").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        placed = chosen.join(parts, "domain").withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("int"))
-        joined = placed.join(keyed.select("domain", "part", "keys"), ["domain", "part"], "left").select("page_id", "domain", "title", "body_text", "keys")
+        split = lettered.join(parts, "domain").withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("int"))
+        joined = split.join(keyed.select("domain", "part", F.col("keys").alias("host_keys")), ["domain", "part"], "left").select("page_id", "letters", "keys", "host_keys")
 
         def with_keys(c: dict[str, list]) -> dict[str, list]:
-            lines = [outside_main(b, t, d, frozenset(k or ()).__contains__) for b, t, d, k in zip(c["body_text"], c["title"], c["domain"], c["keys"])]
-            return {"page_id": c["page_id"], "lines": lines}
+            return {"page_id": c["page_id"], "outside": [placed(x, k, frozenset(h or ()).__contains__) for x, k, h in zip(c["letters"], c["keys"], c["host_keys"])]}
 
         found = map_rows(joined, with_keys, schema)
-    return one_delivery(found, "page_id", ["lines"]).select("page_id", F.explode("lines").alias("line_no"))
+    return found.select("page_id", F.explode("outside").alias("o")).select("page_id", "o.line_no", "o.evidence")
 
 
 def main_body(pages: DataFrame) -> DataFrame:
-    """(page_id, main_text, main_word_count) of each page with a body, each page once."""
+    """(page_id, main_text, main_word_count) of each page with a body, each page once: its blocks but those of page_blocks, one a line."""
     outside = page_blocks(pages).groupBy("page_id").agg(F.collect_list("line_no").alias("outside"))
     once = one_delivery(pages.where(F.length("body_text") > 0), "page_id", ["body_text"])
-    lines = F.filter(F.split("body_text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col("outside"), i + 1), F.lit(False)))
-    text = once.join(outside, "page_id", "left").select("page_id", F.array_join(lines, "\n").alias("main_text"))
-    return text.withColumn("main_word_count", F.regexp_count("main_text", F.lit(r"\S+")))
+
+    def over(c: dict[str, list]) -> dict[str, list]:
+        texts = []
+        for body, out in zip(c["body_text"], c["outside"]):
+            left = frozenset(out or ())
+            texts.append("\n".join(b.text for k, b in enumerate(blocks(body), 1) if k not in left))
+        return {"page_id": c["page_id"], "main_text": texts, "main_word_count": [len(t.split()) for t in texts]}
+
+    return map_rows(once.join(outside, "page_id", "left"), over, "page_id long, main_text string, main_word_count int")
 
 
 def found(pages: DataFrame) -> DataFrame:
-    return page_blocks(pages.where((F.col("status") == 200) & (F.col("word_count") >= 120)))
+    return page_blocks(pages.where((F.col("status") == 200) & (F.col("word_count") >= 120))).select("page_id", "line_no")

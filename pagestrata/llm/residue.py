@@ -99,10 +99,16 @@ LEAST_HOSTS = 2
 NOTICE_WEIGHT, SLUG_WEIGHT, TITLE_WEIGHT, STATUS_WEIGHT = 0.5, 0.1, 0.05, 0.1
 EXCLUDED_FROM = 0.72
 _WORD = re.compile(r"[^\W\d_]+")
+_NOT_ALNUM = re.compile(r"[\W_]+")
 _CODE = re.compile(r"\b[A-Z]{2}-\d+\b|\b(?=\w*\d)\w+\b")
 
 
 _PLACEHOLDING = DUMMY_LATIN | NONSENSE
+# Fixed value: words of either vocabulary that ordinary texts hold; a line of nothing else is no filler.
+_ORDINARY = frozenset("a ac ad ante at culpa do duis ea est et eu ex id in integer ipso labore leo magna massa mi minim nam nec non nulla nunc officia porta quam qui quis sed sem si sit sunt tellus ut vel velit".split())
+_TELLING = _PLACEHOLDING - _ORDINARY
+_HERE = re.compile(r"\shere\b", re.I)
+_TO_COME = re.compile(r"\W*(?:to ?do|tb[da]|fixme|xxx|tk)", re.I)
 
 
 def placeholders(text: str) -> list[str]:
@@ -118,16 +124,25 @@ def placeholders(text: str) -> list[str]:
     return out
 
 
-def is_filler(line: str) -> bool:
+def _is_vocabulary(line: str) -> bool:
+    """Whether a line is dummy Latin or made of filler words."""
     words = list(map(str.lower, _WORD.findall(line)))
     # Either test below needs this share of both vocabularies, so the lines it sets aside pass neither.
-    if sum(map(_PLACEHOLDING.__contains__, words)) < 0.65 * len(words):
-        return FILLER.search(line) is not None
-    if len(words) >= 4 and sum(w in DUMMY_LATIN for w in words) >= 0.65 * len(words):
-        return True
-    if len(words) >= 2 and sum(w in NONSENSE for w in words) >= 0.8 * len(words):
-        return True
-    return FILLER.search(line) is not None
+    if sum(map(_PLACEHOLDING.__contains__, words)) < 0.65 * len(words) or _TELLING.isdisjoint(words):
+        return False
+    latin, nonsense = (sum(map(v.__contains__, words)) for v in (DUMMY_LATIN, NONSENSE))
+    return (len(words) >= 4 and latin >= 0.65 * len(words)) or (len(words) >= 2 and nonsense >= 0.8 * len(words))
+
+
+def _is_instruction(line: str) -> bool:
+    """Whether a line says that text is still to come. What each branch of FILLER must hold is sought first."""
+    low = line.lower()
+    held = ("here" in low and _HERE.search(line)) or "this is a" in low or "click" in low or "with your own" in low or _TO_COME.match(line)
+    return bool(held) and FILLER.search(line) is not None
+
+
+def is_filler(line: str) -> bool:
+    return _is_vocabulary(line) or _is_instruction(line)
 
 
 def _terms(text: str | None) -> set[str]:
@@ -135,9 +150,10 @@ def _terms(text: str | None) -> set[str]:
 
 
 def _bare(text: str) -> str:
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return _NOT_ALNUM.sub("", text.casefold())
 
 
+_SIGNS = re.compile(r"[{}%@\[\]#_<$|]")
 _CLAUSE_END = re.compile(r"[.!?…。！？]+(?:\s|$)|\.{2,}|[,;:、，：]\s*")
 _MACHINE = re.compile(r"[\d/_\\@]")
 _NOT_WORD = re.compile(r"[^\w#]+")
@@ -179,7 +195,10 @@ def own_lines(title: str | None, domain: str | None, lines: list[str]) -> list[t
 def detected(title: str | None, lines: list[str]) -> tuple[int, int]:
     """How many placeholders, and how many lines of filler."""
     every = [title or "", *lines]
-    return sum(len(placeholders(x)) for x in every if any(c in x for c in "{}%@[]#_<$|")), sum(map(is_filler, every))
+    residue = sum(len(placeholders(x)) for x in every if _SIGNS.search(x))
+    # Words of the vocabularies that tell are sought in the whole page first.
+    told = not _TELLING.isdisjoint(_WORD.findall("\n".join(every).lower()))
+    return residue, sum((told and _is_vocabulary(x)) or _is_instruction(x) for x in every)
 
 
 def mismatches(url: str | None, title: str | None, body: list[tuple[str, bool]]) -> tuple[bool, bool]:
@@ -202,15 +221,18 @@ def measure(url: str | None, domain: str | None, title: str | None, body: str |
     """What one page shows by itself. Only teaching responses carry their clauses; longer ones are read again once those are known."""
     lines = lines_of(body)
     residue, filler = detected(title, lines)
-    own = own_lines(title, domain, lines)
-    slug, head = mismatches(url, title, own)
-    long = sum(len(x.split()) for x, _ in own) > TEACHING_WORDS
-    clauses = []
+    long = len((body or "").split()) > TEACHING_WORDS
+    own = []
+    if lines and (not long or sum(len(x.split()) for x in lines if len(x) > len(title or "") + len(domain or "")) <= TEACHING_WORDS):
+        own = own_lines(title, domain, lines)
+        long = sum(len(x.split()) for x, _ in own) > TEACHING_WORDS
+    out = {"residue": residue, "filler": filler, "slug_mismatch": False, "title_mismatch": False, "failed": (status or 0) >= 400, "long": long, "clauses": []}
     if not long:
+        out["slug_mismatch"], out["title_mismatch"] = mismatches(url, title, own)
         for line, heading in own:
             noted = _is_notice(line)
-            clauses += [{"key": clause_key(x), "size": len(x), "heading": heading, "noted": noted} for x in clauses_of(line)]
-    return {"residue": residue, "filler": filler, "slug_mismatch": slug, "title_mismatch": head, "failed": (status or 0) >= 400, "long": long, "clauses": clauses}
+            out["clauses"] += [{"key": clause_key(x), "size": len(x), "heading": heading, "noted": noted} for x in clauses_of(line)]
+    return out
 
 
 def _is_notice(line: str) -> bool:
@@ -219,16 +241,16 @@ def _is_notice(line: str) -> bool:
 
 def familiar_text(title: str | None, domain: str | None, body: str | None, familiar: frozenset) -> float:
     """Share of a long page's own text that familiar clauses make up; 0 as soon as it cannot reach half any more."""
-    own = own_lines(title, domain, lines_of(body))
-    total = sum(len(x) for x, _ in own)
-    known = unknown = 0
+    lines = lines_of(body)
+    half = sum(map(len, lines)) / 2
+    own, known, unknown = own_lines(title, domain, lines), 0, 0
     for line, heading in own:
         for x in clauses_of(line):
             if clause_key(x) in familiar:
                 known += len(x)
             elif not heading:
                 unknown += len(x)
-        if unknown * 2 > total:
+        if unknown > half:
             return 0.0
     return known / (known + unknown) if known else 0.0
 
@@ -239,11 +261,8 @@ def _familiar(taught: DataFrame) -> DataFrame:
     each = taught.select("domain", F.explode(F.array_distinct(F.col("clauses.key"))).alias("key"))
     hosts = each.groupBy("key", "domain").agg(F.count("*").alias("n"))
     counted = hosts.groupBy("key").agg(F.sum("n").alias("addresses"), F.count("*").alias("hosts"))
-    responses = taught.agg(F.count("*").alias("responses"))
-    least = F.greatest(F.lit(float(LEAST_ADDRESSES)), F.col("responses") * FAMILIAR_SHARE)
-    # One row on the right.
-    met = counted.join(F.broadcast(responses), F.lit(True))
-    return met.where(F.col("addresses") >= F.when(F.col("hosts") >= LEAST_HOSTS, least).otherwise(3 * least)).select("key", "addresses", "hosts")
+    least = max(LEAST_ADDRESSES, taught.count() * FAMILIAR_SHARE)
+    return counted.where(F.col("addresses") >= F.when(F.col("hosts") >= LEAST_HOSTS, least).otherwise(3 * least)).select("key", "addresses", "hosts")
 
 
 def evidence(pages: DataFrame) -> DataFrame:
@@ -279,12 +298,20 @@ def evidence(pages: DataFrame) -> DataFrame:
     keys = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in familiar.select("key").collect()))
 
     def again(c: dict[str, list]) -> dict[str, list]:
-        return {"page_id": c["page_id"], "familiar": [familiar_text(t, d, b, keys.value) for t, d, b in zip(c["title"], c["domain"], c["body_text"])]}
-
-    longer = given.where(F.length("body_text") > 2 * TEACHING_WORDS).select("page_id", "domain", "title", "body_text")
-    longer = one_delivery(map_rows(longer, again, "page_id long, familiar double").where("familiar > 0"), "page_id", ["familiar"])
-    longer = longer.join(measured.where("long").select("page_id"), "page_id", "left_semi").select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("addresses", "long"), ("hosts", "long"), ("noted", "boolean"))])
-    joined = measured.drop("clauses", "long").join(short.unionByName(longer), "page_id", "left").na.fill(0, ["familiar", "addresses", "hosts"]).na.fill(False, ["noted"])
+        rows = []
+        for key, url, domain, title, body in zip(*(c[k] for k in ("page_id", "url", "domain", "title", "body_text"))):
+            share = familiar_text(title, domain, body, keys.value)
+            if share:
+                rows.append((key, share, *mismatches(url, title, own_lines(title, domain, lines_of(body)))))
+        return dict(zip(("page_id", "familiar", "slug", "head"), map(list, zip(*rows)))) if rows else {"page_id": [], "familiar": [], "slug": [], "head": []}
+
+    longer = given.where(F.length("body_text") > 2 * TEACHING_WORDS).select("page_id", "url", "domain", "title", "body_text")
+    longer = one_delivery(map_rows(longer, again, "page_id long, familiar double, slug boolean, head boolean"), "page_id", ["familiar", "slug", "head"])
+    longer = longer.join(measured.where("long").select("page_id"), "page_id", "left_semi")
+    both = short.withColumns({"slug": F.lit(False), "head": F.lit(False)}).unionByName(longer, allowMissingColumns=True)
+    joined = measured.drop("clauses", "long").join(both, "page_id", "left")
+    joined = joined.withColumns({"slug_mismatch": F.col("slug_mismatch") | F.coalesce("slug", F.lit(False)), "title_mismatch": F.col("title_mismatch") | F.coalesce("head", F.lit(False))}).drop("slug", "head")
+    joined = joined.na.fill(0, ["familiar", "addresses", "hosts"]).na.fill(False, ["noted"])
     flag = lambda name, weight: F.col(name).cast("double") * weight
     score = F.col("familiar") + flag("slug_mismatch", SLUG_WEIGHT) + flag("title_mismatch", TITLE_WEIGHT) + flag("failed", STATUS_WEIGHT)
     joined = joined.withColumn("score", F.when(F.col("familiar") > 0, score).otherwise(0.0))

@@ -250,9 +250,20 @@ def test_main_content_without_carried_keys(spark, monkeypatch):
 
 
 def test_layout_renders_markup():
-    html = "<html><head><title>t</title><style>x</style></head><body><p>one<p>two <b>three</b><ul><li>a<li>b</ul><ol><li>c</ol><table><tr><td>x<td>y<tr><td>z</table><div hidden>no</div><script>no</script><pre> k\n  l</pre></body></html>"
-    assert layout.render(html) == ["one", "two three", "- a", "- b", "1. c", "x\ty", "z", " k", "  l"]
-    assert layout.blocks("a\n\nb < c") == ["a", "", "b < c"]
+    html = "<html><head><title>t</title><style>x</style></head><body><p>one<p>two <b>three</b><ul><li>a<li>b</ul><ol><li>c</ol><table><tr><td>x long<td>y<tr><td>z<td><p>q<p>r</table><div hidden>no</div><script>no</script><pre> k\n  l</pre></body></html>"
+    assert [b.text for b in layout.render(html)] == ["one", "two three", "- a", "- b", "1. c", "x long  y", "z       q r", " k", "  l"]
+    assert [b.text for b in layout.blocks("a\n\nb < c")] == ["a", "", "b < c"]
+    roles = layout.blocks("Intro<div><nav><p>Home</p></nav><main><header><h1>Top</h1></header><p>Text</p><ul><li>x</li></ul><aside>See</aside></main><footer><p>Foot</p></footer></div><div role=banner><p>B</p></div>")
+    assert [(b.text, b.role) for b in roles] == [("Intro", ""), ("Home", "outside"), ("Top", "heading"), ("Text", ""), ("- x", "list"), ("See", "outside"), ("Foot", "outside"), ("B", "outside")]
+    assert not layout.is_markup("Write <p> before and </p> after the text.") and layout.blocks("<p>a</p><p>b")[1].text == "b"
+
+
+def test_main_content_of_markup(spark):
+    """Where the body is markup, rendering decides: no block recurs here and no word is on a list."""
+    html = "<html><body><nav><p>Larb</p><p>Mord</p></nav><main><h1>Quil</h1><p>The sten was trov.</p><table><tr><td>vash</td><td>1</td></tr><tr><td>k</td><td>22</td></tr></table></main><aside><p>Zint</p></aside><footer>Wexo</footer></body></html>"
+    table = pages(spark, [{"page_id": 1, "body_text": html}, {"page_id": 1, "body_text": html}])
+    assert {(r.line_no, r.evidence) for r in maincontent.page_blocks(table).collect()} == {(k, "layout") for k in (1, 2, 7, 8)}
+    assert [(r.main_text, r.main_word_count) for r in maincontent.main_body(table).collect()] == [("Quil\nThe sten was trov.\nvash  1\nk     22", 9)]
 
 
 HARD = "Organisational sustainability necessitates multidimensional characterisation, notwithstanding administrative heterogeneity. "
