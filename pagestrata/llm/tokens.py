@@ -221,6 +221,8 @@ def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc
     placed = F.flatten(F.transform("__codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(F.col("__spelled"), -c - 1))))
     encoded = coded.drop("__rare").join(found, ["__row", "__block"], "left").select("__row", "__block", "__long", "__id", *kept, placed.alias("ids"))
     out = [F.col("__id").alias(id_column), F.col("ids"), *kept]
+    if not coded.where("__long").limit(1).count():
+        return encoded.select(*out)
     whole = encoded.where("__long").groupBy("__row").agg(
         F.first("__id").alias("__id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__block", "ids"))), lambda b: b["ids"])).alias("ids"), *[F.first(k).alias(k) for k in kept]
     )
