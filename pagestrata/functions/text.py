@@ -83,20 +83,25 @@ def reading_ease(text: Column) -> Column:
     return F.when((count > 0) & (letters >= 10) & (latin * 2 >= letters) & (F.floor(count / sentences) <= 40), held)
 
 
-def detail_sample(items: Column, of: Column | None = None, most_items: int = 10, most_bytes: int = 300) -> Column:
+def hop_path(hops: Column) -> Column:
+    """A walk as a -> b -> c within the same budget of bytes, and how many hops were left out."""
+    return detail_sample(hops, most_items=1 << 30, separator=" -> ", more=" -> (+")
+
+
+def detail_sample(items: Column, of: Column | None = None, most_items: int = 10, most_bytes: int = 300, separator: str = ", ", more: str = " (+") -> Column:
     """The first items joined within a budget of bytes, and how many of all (`of`, else the list's size) were left out."""
     of = F.size(items) if of is None else of
 
     def add(state: Column, item: Column) -> Column:
         cut = F.when(F.octet_length(item) > most_bytes, F.concat(F.substring(item, 1, most_bytes), F.lit("…"))).otherwise(item)
         first = state["shown"] == 0
-        room = first | (F.octet_length(state["text"]) + F.octet_length(item) + 2 <= most_bytes)
-        taken = F.struct(F.concat(state["text"], F.when(first, "").otherwise(", "), cut).alias("text"), (state["shown"] + 1).alias("shown"), F.lit(True).alias("open"))
+        room = first | (F.octet_length(state["text"]) + F.octet_length(item) + len(separator) <= most_bytes)
+        taken = F.struct(F.concat(state["text"], F.when(first, "").otherwise(separator), cut).alias("text"), (state["shown"] + 1).alias("shown"), F.lit(True).alias("open"))
         closed = F.struct(state["text"].alias("text"), state["shown"].alias("shown"), F.lit(False).alias("open"))
         return F.when(state["open"] & room, taken).otherwise(closed)
 
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("shown"), F.lit(True).alias("open"))
-    finish = lambda s: F.concat(s["text"], F.when(of > s["shown"], F.concat(F.lit(" (+"), (of - s["shown"]).cast("string"), F.lit(" more)"))).otherwise(""))
+    finish = lambda s: F.concat(s["text"], F.when(of > s["shown"], F.concat(F.lit(more), (of - s["shown"]).cast("string"), F.lit(" more)"))).otherwise(""))
     return F.aggregate(F.slice(items, 1, most_items), start, add, finish)
 
 

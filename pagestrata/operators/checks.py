@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pagestrata.functions import text, urls
 from pagestrata.operators import relations
 from pagestrata.plans.check_catalog import SEVERITY
+from pagestrata.runtime import ship
 
 ISSUE = ["crawl_id", "category", "check", "severity", "url", "detail"]
 # Statuses that refuse a crawler rather than break a page; anchors that say nothing; limits.
 REFUSED = [401, 403, 429]
-EMPTY_ANCHORS = ["click here", "here", "read more", "learn more", "more", "link", "this", "go", "continue"]
+EMPTY_ANCHORS = ["click here", "read more", "learn more", "here", "link", "more", "continue", "click", "this"]
 UNSAFE_REFERRER = ["unsafe-url", "no-referrer-when-downgrade"]
 
 c = F.col
@@ -37,9 +38,15 @@ def _blank(column: Column) -> Column:
     return column.isNull() | (F.trim(column) == "")
 
 
-def _needs_alt(image: Column) -> Column:
-    decorative = (image["width"] <= 1) | (image["height"] <= 1)
-    return ~F.coalesce(F.lower(image["src"]).startswith("data:"), F.lit(False)) & ~F.coalesce(decorative, F.lit(False))
+def needs_alt(image: Column) -> Column:
+    """Whether an image says something: no data URI, and not known to be a pixel or a spacer by both its dimensions."""
+    decorative = image["width"].isNotNull() & image["height"].isNotNull() & ((image["width"] <= 1) | (image["height"] <= 1))
+    return ~F.coalesce(F.lower(F.ltrim(image["src"])).startswith("data:"), F.lit(False)) & ~decorative
+
+
+def without_alt(images: Column) -> Column:
+    """How many images need a text and have none."""
+    return F.size(F.filter(F.coalesce(images, F.array()), lambda i: i["alt"].isNull() & needs_alt(i)))
 
 
 def row_checks(languages: list[str], countries: list[str]) -> list[tuple[str, str, Column, Column | None]]:
@@ -126,7 +133,7 @@ def row_checks(languages: list[str], countries: list[str]) -> list[tuple[str, st
         ("content", "low_content", (c("word_count") < 100) & c("is_html"), F.concat(c("word_count").cast("string"), F.lit(" words"))),
         ("content", "readability_very_difficult", c("readability_score") < 10, None),
         ("content", "readability_difficult", (c("readability_score") >= 10) & (c("readability_score") < 30), None),
-        ("images", "missing_alt_attribute", ok & _any("images", lambda i: i["alt"].isNull() & _needs_alt(i)), sample(F.transform(F.filter("images", lambda i: i["alt"].isNull() & _needs_alt(i)), lambda i: i["src"]))),
+        ("images", "missing_alt_attribute", ok & _any("images", lambda i: i["alt"].isNull() & needs_alt(i)), sample(F.transform(F.filter("images", lambda i: i["alt"].isNull() & needs_alt(i)), lambda i: i["src"]))),
         ("images", "alt_over_100_chars", ok & _any("images", lambda i: F.char_length(i["alt"]) > 100), None),
         ("images", "missing_dimensions", ok & _any("images", lambda i: i["width"].isNull() | i["height"].isNull()), None),
         ("canonicals", "canonical_outside_head", index & c("canonical").isNotNull() & c("canonical_source").isNull(), c("canonical")),
@@ -178,7 +185,7 @@ def _redirect_checks() -> list[tuple[str, str, Column, Column, Column]]:
     hops = _n("redirect_chain")
     first = F.get("chain_urls", 0)
     walk = F.concat(c("chain_urls"), F.array(c("url")))
-    path = F.substring(F.array_join(walk, " -> "), 1, 300)
+    path = text.hop_path(walk)
     loop = F.size(F.array_distinct("chain_urls")) < F.size("chain_urls")
     return [
         ("response_codes", "internal_redirect_loop", loop, first, path),
@@ -199,7 +206,7 @@ def _built(_gateway: int, languages: tuple[str, ...], countries: tuple[str, ...]
     for category, check, predicate, url, detail in plain + _redirect_checks():
         finding = F.struct(
             F.lit(category).alias("category"), F.lit(check).alias("check"), F.lit(SEVERITY[category, check]).alias("severity"),
-            url.alias("url"), _items(detail).alias("items"), _size(detail).alias("of"),
+            url.alias("url"), _plain(detail).alias("text"), _items(detail).alias("items"), _size(detail).alias("of"),
         )
         found.append(F.when(predicate, finding))
     return F.array_compact(F.array(*found))
@@ -208,7 +215,7 @@ def _built(_gateway: int, languages: tuple[str, ...], countries: tuple[str, ...]
 def row_issues(pages: DataFrame) -> DataFrame:
     """Findings of all row-local checks, from one pass over the pages."""
     one = pages.select("crawl_id", F.explode(_found(pages.sparkSession)).alias("f"))
-    detail = text.detail_sample(c("f.items"), c("f.of"))
+    detail = F.coalesce("f.text", text.detail_sample(c("f.items"), c("f.of")))
     return one.select("crawl_id", "f.category", "f.check", "f.severity", "f.url", detail.alias("detail"))
 
 
@@ -220,9 +227,11 @@ class _List:
 
 
 def _items(detail) -> Column:
-    if isinstance(detail, _List):
-        return F.slice(detail.items, 1, 10).cast("array<string>")
-    return F.lit(None).cast("array<string>") if detail is None else F.when(detail.isNotNull(), F.array(detail.cast("string")))
+    return (F.slice(detail.items, 1, 10) if isinstance(detail, _List) else F.lit(None)).cast("array<string>")
+
+
+def _plain(detail) -> Column:
+    return (F.lit(None) if detail is None or isinstance(detail, _List) else detail).cast("string")
 
 
 def _size(detail) -> Column:
@@ -338,7 +347,8 @@ def robots_issues(robots: DataFrame) -> DataFrame:
     """AI crawlers that a robots.txt names and blocks at the root. robots: (crawl_id, robots_txt)."""
     from pagestrata.sources.robots import blocked_ai_crawlers
 
-    blocked = F.udf(blocked_ai_crawlers, "array<string>")
+    ship(robots.sparkSession)
+    blocked = F.udf(blocked_ai_crawlers, "array<string>", useArrow=True)
     named = robots.where(F.lower("robots_txt").contains("user-agent")).select("crawl_id", blocked("robots_txt").alias("blocked")).where(F.size("blocked") > 0)
     return _issue(named, "directives", "ai_crawlers_blocked", text.detail_sample(c("blocked")), url=None)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions.urls import first_path_segment
 from pagestrata.operators import relations
-from pagestrata.runtime import written
+from pagestrata.runtime import free, written
 
 c = F.col
 DAMPING, ROUNDS = 0.85, 40
@@ -89,6 +89,7 @@ def _pagerank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, damping: f
     sized = ids.groupBy("crawl_id").agg(F.count("*").alias("n"))
     fixed = written(ids.select("crawl_id", "id").join(sized, "crawl_id").join(out.withColumnRenamed("s", "id"), "id", "left"), "graph-fixed")
     rank = fixed.select("crawl_id", "id", "n", "out", (F.lit(1.0) / c("n")).alias("rank"))
+    kept: list[DataFrame] = []
     for _ in range(rounds):
         given = links.join(rank.where("out is not null").select(c("id").alias("s"), (c("rank") / c("out")).alias("share")), "s").groupBy(c("d").alias("id")).agg(F.sum("share").alias("got"))
         lost = rank.where("out is null").groupBy("crawl_id").agg(F.sum("rank").alias("lost"))
@@ -96,6 +97,9 @@ def _pagerank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, damping: f
         value = (1 - damping) / c("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / c("n"))
         rank = fresh.select("crawl_id", "id", "n", "out", value.alias("rank"))
         rank = written(rank, "graph-rank")
+        kept.append(rank)
+        if len(kept) > 2:
+            free(kept.pop(0))
     return rank.join(ids.select("id", "node"), "id").select("crawl_id", "node", c("rank").alias("pagerank"))
 
 
@@ -134,6 +138,7 @@ def _component_stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids, links = _numbered(nodes, edges)
     pairs = links.select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct()
+    kept: list[DataFrame] = []
     while True:
         both = pairs.select(c("a").alias("u"), c("b").alias("v")).union(pairs.select(c("b").alias("u"), c("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -144,6 +149,9 @@ def _component_stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = written(small, "graph-stars")
         changed = small.join(pairs, ["a", "b"], "left_anti").limit(1).count() + pairs.join(small, ["a", "b"], "left_anti").limit(1).count()
         pairs = small
+        kept.append(small)
+        if len(kept) > 2:
+            free(kept.pop(0))
         if not changed:
             break
     root = pairs.groupBy(c("b").alias("id")).agg(F.min("a").alias("component"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagestrata.operators import relations
+from pagestrata.operators.checks import without_alt
 from pagestrata.plans.check_catalog import SEVERITY_RANK, catalog
 
 c = F.col
@@ -18,10 +19,6 @@ BANDS = [(90, "A", "Excellent"), (80, "B", "Good"), (70, "C", "Needs Work"), (60
 NOT_REACHED = ["internal_server_error", "internal_client_error", "internal_no_response", "internal_access_restricted"]
 
 
-def _distinct(condition: Column, value: Column) -> Column:
-    return F.count_distinct(F.when(condition, value))
-
-
 def health_score(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """(crawl_id, pages, broken, defective, score, grade, verdict, and the points of each part).
 
@@ -91,7 +88,6 @@ def check_counts(issues: DataFrame) -> DataFrame:
 def crawl_summary(pages: DataFrame) -> DataFrame:
     """Totals and whole-number means of each crawl; exact p50 (mean of the middle two, rounded down) and p95 (nearest rank) of response times."""
     size = lambda a: F.when(c(a).isNull(), 0).otherwise(F.size(c(a)))
-    bare = F.size(F.filter(F.coalesce("images", F.array()), lambda i: i["alt"].isNull()))
     return pages.groupBy("crawl_id").agg(
         F.count("*").alias("pages"),
         F.floor(F.sum("response_time_ms") / F.count("*")).cast("long").alias("mean_response_ms"),
@@ -100,7 +96,8 @@ def crawl_summary(pages: DataFrame) -> DataFrame:
         F.sum(size("internal_links")).cast("long").alias("internal_links"),
         F.sum(size("external_links")).cast("long").alias("external_links"),
         F.sum(size("images")).cast("long").alias("images"),
-        F.sum(bare).cast("long").alias("images_without_alt"),
+        F.sum(without_alt(c("images"))).cast("long").alias("images_without_alt"),
+        F.count_if(size("schema_types") > 0).alias("pages_with_schema"),
         F.floor(F.percentile("response_time_ms", 0.5)).cast("long").alias("p50_response_ms"),
         F.expr("percentile_disc(0.95) within group (order by response_time_ms)").cast("long").alias("p95_response_ms"),
     )

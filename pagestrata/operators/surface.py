@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions.urls import glob_matches, norm_url
 from pagestrata.operators import relations, scoring
+from pagestrata.operators.checks import without_alt
 from pagestrata.plans.check_catalog import SEVERITY_RANK
 
 c = F.col
@@ -174,25 +175,88 @@ def rendered_flags(static: DataFrame, rendered: DataFrame) -> DataFrame:
     )
 
 
+def merge_rendered(static: DataFrame, rendered: DataFrame) -> DataFrame:
+    """Rendered pages that stand for their static form (answered 200 to 399): what the response decides stays with the static page, the
+    rest is as rendered, with the flags of what scripts injected and the words they added."""
+    kept = ["response_time_ms", "depth", "security_headers", "x_robots_tag", "redirect_chain"]
+    flags = rendered_flags(static, rendered)
+    fetched = static.where(c("status").between(200, 399)).select("crawl_id", "url", *[c(x).alias(f"s_{x}") for x in kept])
+    merged = rendered.drop(*[f for f in flags.columns if f not in ("crawl_id", "url")]).join(flags, ["crawl_id", "url"]).join(fetched, ["crawl_id", "url"])
+    return merged.withColumns({x: c(f"s_{x}") for x in kept}).drop(*[f"s_{x}" for x in kept])
+
+
+def render_deltas(static: DataFrame, rendered: DataFrame, static_issues: DataFrame, rendered_issues: DataFrame) -> DataFrame:
+    """(crawl_id, url, metric, static, rendered, delta): the two forms of each page side by side; presence counts as 0 or 1."""
+    size = lambda a: F.when(c(a).isNull(), 0).otherwise(F.size(c(a)))
+    metrics = {
+        "title": c("title").isNotNull(), "meta_description": c("meta_description").isNotNull(), "word_count": F.coalesce("word_count", F.lit(0)), "internal_links": size("internal_links"),
+        "external_links": size("external_links"), "images": size("images"), "schema_types": size("schema_types"), "h1": size("h1"),
+    }
+
+    def side(pages: DataFrame, issues: DataFrame, name: str) -> DataFrame:
+        found = issues.where("url is not null").groupBy("crawl_id", "url").agg(F.count("*").alias("issues"))
+        values = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("long").alias("v")) for k, v in (metrics | {"issues": F.coalesce("issues", F.lit(0))}).items()])
+        return pages.join(found, ["crawl_id", "url"], "left").select("crawl_id", "url", F.explode(values).alias("m")).select("crawl_id", "url", "m.metric", c("m.v").alias(name))
+
+    both = side(static, static_issues, "static").join(side(rendered, rendered_issues, "rendered"), ["crawl_id", "url", "metric"])
+    return both.withColumn("delta", c("rendered") - c("static"))
+
+
+def crawl_answer(pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row a crawl: score, grade and verdict, findings by severity, response times, the ten categories with most findings and the ten
+    worst pages (a top-k report), most first."""
+    score = scoring.health_score(pages, issues).select("crawl_id", "score", "grade", "verdict")
+    times = scoring.crawl_summary(pages).select("crawl_id", "pages", "mean_response_ms", "p50_response_ms", "p95_response_ms")
+    totals = issues.groupBy("crawl_id").agg(F.count("*").alias("total"), *[F.count_if(c("severity") == s).alias(s) for s in SEVERITY_RANK])
+    place = F.row_number().over(Window.partitionBy("crawl_id").orderBy(c("found").desc(), "category"))
+    categories = scoring.category_summary(issues).withColumn("place", place).where("place <= 10")
+    categories = categories.groupBy("crawl_id").agg(F.array_sort(F.collect_list(F.struct("place", "category", "found", "urls"))).alias("top_categories"))
+    worst = worst_pages(pages, issues).groupBy("crawl_id").agg(F.array_sort(F.collect_list(F.struct("place", "url_key", "total"))).alias("worst_pages"))
+    out = score.join(times, "crawl_id")
+    for part in (totals, categories, worst):
+        out = out.join(part, "crawl_id", "left")
+    return out.na.fill(0, ["total", *SEVERITY_RANK])
+
+
+def score_changes(pages: DataFrame, issues: DataFrame, crawls: DataFrame) -> DataFrame:
+    """(crawl_a, crawl_b, score_from, score_to, score_delta, grade_from, grade_to, new_issues, resolved_issues, regressed_urls) for each
+    crawl of a site and the next one."""
+    score = scoring.health_score(pages, issues)
+    a, b = (score.select(c("crawl_id").alias(f"crawl_{k}"), c("score").alias(f"score_{w}"), c("grade").alias(f"grade_{w}")) for k, w in (("a", "from"), ("b", "to")))
+    of = lambda change: F.count_if(c("change") == change)
+    counted = compare_consecutive(pages, issues, crawls, compat=True).groupBy("crawl_a", "crawl_b").agg(
+        of("new").alias("new_issues"), of("resolved").alias("resolved_issues"), F.count_distinct(F.when(c("change") == "new", c("url_key"))).alias("regressed_urls")
+    )
+    out = crawl_pairs(crawls).join(a, "crawl_a").join(b, "crawl_b").join(counted, ["crawl_a", "crawl_b"], "left").na.fill(0, ["new_issues", "resolved_issues", "regressed_urls"])
+    return out.withColumn("score_delta", c("score_to") - c("score_from"))
+
+
+def list_crawls(crawls: DataFrame, domain: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
+    """Stored crawls, newest first, of one domain or of all: one page of 1 to 200."""
+    chosen = crawls if domain is None else crawls.where(c("domain") == domain)
+    return chosen.orderBy(c("crawl_date").desc_nulls_last(), c("crawl_id").desc()).offset(max(0, int(offset))).limit(min(200, max(1, int(limit))))
+
+
 def csv_rows(pages: DataFrame) -> DataFrame:
-    """The flat export, one row a page; text that a spreadsheet would take for a formula gets an apostrophe."""
-    guard = lambda x: F.when(x.rlike(FORMULA_STARTS), F.concat(F.lit("'"), x)).otherwise(x)
+    """The flat export, one row a page, its 31 columns in their order after the crawl's id; absent texts are empty, absent counts 0.
+    Text that a spreadsheet would take for a formula gets an apostrophe."""
+    text = lambda x: F.coalesce(F.when(x.rlike(FORMULA_STARTS), F.concat(F.lit("'"), x)).otherwise(x), F.lit(""))
+    number = lambda x: F.coalesce(x, F.lit(0))
     size = lambda a: F.when(c(a).isNull(), 0).otherwise(F.size(c(a)))
-    fixed = lambda x, n: F.format_string(f"%.{n}f", x.cast("double"))
-    blocking = F.size(F.filter("scripts", lambda s: ~s["is_async"] & ~s["is_defer"] & ~s["is_module"]))
-    h = c("security_headers")
+    # Ties go to the even digit.
+    fixed = lambda x, n: F.coalesce(F.bround(x.cast("double").cast("decimal(30,15)"), n).cast("string"), F.lit(""))
+    blocking = F.size(F.filter(F.coalesce("scripts", F.array()), lambda s: ~s["is_async"] & ~s["is_defer"] & ~s["is_module"]))
     columns = {
-        "url": guard(c("url")), "status": c("status"), "content_type": guard(c("content_type")), "response_time_ms": c("response_time_ms"), "depth": c("depth"),
-        "title": guard(c("title")), "title_length": c("title_length"), "title_pixel_width": c("title_pixel_width"),
-        "meta_description": guard(c("meta_description")), "meta_description_length": c("meta_description_length"),
-        "canonical": guard(c("canonical")), "meta_robots": guard(c("meta_robots")), "x_robots_tag": guard(c("x_robots_tag")),
-        "h1_count": size("h1"), "first_h1": guard(F.get("h1", 0)), "word_count": c("word_count"),
-        "readability_score": fixed(c("readability_score"), 1), "content_hash": c("content_hash"),
-        "internal_links": size("internal_links"), "external_links": size("external_links"), "images": size("images"),
-        "images_without_alt": F.size(F.filter(F.coalesce("images", F.array()), lambda i: i["alt"].isNull())),
-        "schema_types": guard(F.array_join("schema_types", "; ")), "is_https": c("is_https"), "has_hsts": h["hsts"],
-        "redirect_hops": size("redirect_chain"), "lcp_ms": fixed(c("lcp_ms"), 0), "inp_ms": fixed(c("inp_ms"), 0), "cls": fixed(c("cls"), 3),
-        "performance_score": c("performance_score"), "render_blocking_scripts": F.coalesce(F.when(blocking >= 0, blocking), F.lit(0)),
+        "url": text(c("url")), "status": c("status"), "title": text(c("title")), "title_length": number(c("title_length")),
+        "meta_description": text(c("meta_description")), "meta_description_length": number(c("meta_description_length")),
+        "h1_count": size("h1"), "h1_text": text(F.array_join("h1", "; ")), "word_count": number(c("word_count")), "response_time_ms": number(c("response_time_ms")),
+        "depth": number(c("depth")), "canonical": text(c("canonical")), "is_https": c("is_https"), "internal_links": size("internal_links"),
+        "external_links": size("external_links"), "images": size("images"), "images_missing_alt": without_alt(c("images")),
+        "has_schema": size("schema_types") > 0, "schema_types": text(F.array_join("schema_types", "; ")), "meta_robots": text(c("meta_robots")),
+        "x_robots_tag": text(c("x_robots_tag")), "is_indexable": c("indexable"), "hreflang_count": size("hreflang_tags"),
+        "readability_score": fixed(c("readability_score"), 1), "lcp_ms": fixed(c("lcp_ms"), 0), "inp_ms": fixed(c("inp_ms"), 0), "cls": fixed(c("cls"), 3),
+        "performance_score": F.coalesce(c("performance_score").cast("string"), F.lit("")), "script_count": size("scripts"),
+        "render_blocking_scripts": blocking, "console_error_count": size("console_errors"),
     }
     return pages.select("crawl_id", *[v.cast("string").alias(k) for k, v in columns.items()])
 

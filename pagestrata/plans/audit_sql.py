@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pagestrata.functions.text import FULL_WIDTH, UNSPACED, ZERO_WIDTH
-from pagestrata.operators.checks import EMPTY_ANCHORS
 from pagestrata.plans.check_catalog import SEVERITY, rows
-from pagestrata.plans.link_queries import NORM
+
+# Fixed values, written out here so that the SQL takes nothing from the engine but identifiers, severities and weights of the checks.
+FULL_WIDTH = r"\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{4DBF}\x{4E00}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{20000}-\x{2FA1F}"
+ZERO_WIDTH = r"\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}\x{0300}-\x{036F}\x{1AB0}-\x{1AFF}\x{20D0}-\x{20FF}"
+UNSPACED = FULL_WIDTH + r"\x{0E00}-\x{0EFF}\x{1780}-\x{17FF}\x{1000}-\x{109F}"
+NORM = """regexp_replace(
+    lower(regexp_extract({u}, '^[^:/?#]+://[^/?#]*')), CASE WHEN {u} ILIKE 'https:%' THEN ':443$' ELSE ':80$' END, '')
+  || CASE WHEN regexp_matches({u}, '^[^:/?#]+://[^/?#]*/?(#.*)?$') THEN '/'
+     ELSE regexp_replace(split_part(regexp_replace({u}, '^[^:/?#]+://[^/?#]*', ''), '#', 1), '/$', '') END"""
+NEEDS_ALT = "NOT coalesce(starts_with(lower(ltrim(i.src)), 'data:'), false) AND NOT (i.width IS NOT NULL AND i.height IS NOT NULL AND (i.width <= 1 OR i.height <= 1))"
 
 SPACE = r"[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -45,7 +52,7 @@ q AS (SELECT *, list_has_any(directives, ['noindex', 'none']) AS noindex, is_htm
     {_length('title')} AS title_length, {_px('title', 17, 13, 11, 6, 11, 5)} AS title_px, {_length('meta_description')} AS md_length, {_px('meta_description', 12, 9, 8, 4, 8, 4)} AS md_px,
     regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path
   FROM p)"""
-ANCHORS = ", ".join(f"'{a}'" for a in EMPTY_ANCHORS)
+ANCHORS = "'click here', 'read more', 'learn more', 'here', 'link', 'more', 'continue', 'click', 'this'"
 LOCAL = "'^[^:/?#]+://(localhost|[^/?#:]*\\.localhost|127(\\.[0-9]{1,3}){3})([:/?#]|$)'"
 # Predicate of each row-local check that the crawl table can decide.
 PREDICATES = {
@@ -80,7 +87,7 @@ PREDICATES = {
     "content.low_content": "word_count < 100 AND is_html",
     "content.readability_very_difficult": "readability_score < 10",
     "content.readability_difficult": "readability_score >= 10 AND readability_score < 30",
-    "images.missing_alt_attribute": "is_ok AND len(list_filter(images, lambda i: i.alt IS NULL AND NOT coalesce(starts_with(lower(i.src), 'data:'), false) AND NOT coalesce(i.width <= 1 OR i.height <= 1, false))) > 0",
+    "images.missing_alt_attribute": f"is_ok AND len(list_filter(images, lambda i: i.alt IS NULL AND {NEEDS_ALT})) > 0",
     "images.alt_over_100_chars": "is_ok AND len(list_filter(images, lambda i: length(i.alt) > 100)) > 0",
     "images.missing_dimensions": "is_ok AND len(list_filter(images, lambda i: i.width IS NULL OR i.height IS NULL)) > 0",
     "canonicals.missing": "is_html AND canonical IS NULL",
@@ -218,7 +225,7 @@ before AS (SELECT crawl_a, crawl_b, category, "check", url_key FROM pairs JOIN k
 SELECT *, 'new' AS change FROM (SELECT * FROM after EXCEPT SELECT * FROM before) UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM before EXCEPT SELECT * FROM after)""",
     "crawl_summary": f"""{BASE} SELECT crawl_id, count(*) AS pages, floor(sum(response_time_ms) / count(*))::BIGINT AS mean_response_ms, sum(word_count)::BIGINT AS words, floor(sum(word_count) / count(*))::BIGINT AS mean_words,
   sum(coalesce(len(internal_links), 0))::BIGINT AS internal_links, sum(coalesce(len(external_links), 0))::BIGINT AS external_links, sum(coalesce(len(images), 0))::BIGINT AS images,
-  sum(coalesce(len(list_filter(images, lambda i: i.alt IS NULL)), 0))::BIGINT AS images_without_alt, floor(quantile_cont(response_time_ms, 0.5))::BIGINT AS p50_response_ms, quantile_disc(response_time_ms, 0.95)::BIGINT AS p95_response_ms FROM q GROUP BY crawl_id""",
+  sum(coalesce(len(list_filter(images, lambda i: i.alt IS NULL AND {NEEDS_ALT})), 0))::BIGINT AS images_without_alt, 0::BIGINT AS pages_with_schema, floor(quantile_cont(response_time_ms, 0.5))::BIGINT AS p50_response_ms, quantile_disc(response_time_ms, 0.95)::BIGINT AS p95_response_ms FROM q GROUP BY crawl_id""",
     "status_counts": f"{BASE} SELECT crawl_id, status, count(*) AS pages FROM q GROUP BY ALL",
     "status_classes": f"""{BASE} SELECT *, round(100.0::DOUBLE * pages / sum(pages) OVER (PARTITION BY crawl_id), 6) AS percent
 FROM (SELECT crawl_id, (status // 100)::VARCHAR || 'xx' AS status_class, count(*) AS pages FROM q WHERE status BETWEEN 200 AND 599 GROUP BY ALL)""",

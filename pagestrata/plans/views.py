@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions.urls import norm, resolve
 from pagestrata.operators import checks, graph
+from pagestrata.runtime import ship
 from pagestrata.sources.html import parse_html
 from pagestrata.sources.robots import is_allowed
 
@@ -34,9 +35,12 @@ def register(spark: SparkSession, pages: DataFrame) -> list[str]:
     views["nodes"], views["edges"] = graph.graph(pages)
     for name, view in views.items():
         view.createOrReplaceTempView(name)
-    spark.udf.register("norm_url", lambda u: None if u is None else norm(u), "string")
-    spark.udf.register("resolve_url", lambda base, ref: None if base is None or ref is None else resolve(base, ref), "string")
-    spark.udf.register("robots_allow", lambda text, agent, url: is_allowed(text, agent, url), "boolean")
+    ship(spark)
+    # What no built-in expresses; rows travel in Arrow batches.
+    arrow = lambda name, function, kind: spark.udf.register(name, F.udf(function, kind, useArrow=True))
+    arrow("norm_url", lambda u: None if u is None else norm(u), "string")
+    arrow("resolve_url", lambda base, ref: None if base is None or ref is None else resolve(base, ref), "string")
+    arrow("robots_allow", lambda text, agent, url: is_allowed(text, agent, url), "boolean")
     table = F.udtf(ParsedPage, returnType="title string, meta_description string, canonical string, word_count int, body_text string, internal_links array<string>, external_links array<string>")
     spark.udtf.register("parse_page", table)
     return list(views)

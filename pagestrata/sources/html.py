@@ -10,12 +10,14 @@ from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from pagestrata.functions.text import reading_ease
 from pagestrata.functions.urls import norm, resolve
+from pagestrata.runtime import ship
 from pagestrata.schema import PAGE_FIELDS
 
 # Fixed values of the HTML standard and of structured-data guidelines.
@@ -267,20 +269,18 @@ def parse_html(html: str, url: str) -> dict:
 PARSED = [n for n in PAGE_FIELDS if n in parse_html("", "https://x.example/")]
 
 
-def header_canonical(value: str | None) -> str | None:
+def header_canonical(value: Column) -> Column:
     """The target of a Link header with rel=canonical; commas inside <> do not separate links."""
-    for part in re.findall(r"<[^>]*>[^,<]*", value or ""):
-        target, _, params = part.partition(">")
-        if re.search(r";\s*rel\s*=\s*\"?(?:[^\";]*\s)?canonical(?:[\s\"]|$)", params, re.I):
-            return target.lstrip("<").strip()
-    return None
+    target = F.trim(F.regexp_extract(value, r"(?i)<([^>]*)>[^,<]*;\s*rel\s*=\s*\"?(?:[^\";,<]*\s)?canonical(?:[\s\",;]|$)", 1))
+    return F.when(target != "", target)
 
 
 def parse_pages(fetches: DataFrame) -> DataFrame:
     """Fetched responses to pages. fetches has url, html and any page fields known from the response
     (status, headers ARRAY<STRUCT<name,value>>, ...). Bodies are parsed for 2xx and 3xx HTML responses only;
     the raw body does not travel further."""
-    present = [f for f in fetches.columns if f not in ("html", "headers") and f not in PARSED]
+    ship(fetches.sparkSession)
+    present = [f for f in fetches.columns if f not in ("html", "headers", "readability_score") and f not in PARSED]
     schema = T._parse_datatype_string(", ".join(f"`{n}` {PAGE_FIELDS[n]}" for n in PARSED))
     kept = [fetches.schema[f] for f in present]
     arrow = to_arrow_schema(T.StructType([*kept, *schema.fields]))
@@ -295,7 +295,8 @@ def parse_pages(fetches: DataFrame) -> DataFrame:
             arrays = [pa.array(columns[f.name] if f.name in present else [p.get(f.name) for p in parsed], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return read.mapInArrow(over, T.StructType([*kept, *schema.fields]))
+    pages = read.mapInArrow(over, T.StructType([*kept, *schema.fields]))
+    return pages.withColumn("readability_score", reading_ease(F.col("body_text")).cast("float"))
 
 
 def response_columns(fetches: DataFrame) -> DataFrame:
@@ -310,7 +311,7 @@ def response_columns(fetches: DataFrame) -> DataFrame:
         has("strict-transport-security").alias("hsts"), has("content-security-policy").alias("csp"), has("x-content-type-options").alias("x_content_type_options"),
         has("x-frame-options").alias("x_frame_options"), has("referrer-policy").alias("referrer_policy"), F.when(has("referrer-policy"), referrer["value"]).alias("referrer_value"),
     )
-    return fetches.withColumns({"x_robots_tag": header("x-robots-tag"), "header_canonical": F.udf(header_canonical)(header("link")), "security_headers": security})
+    return fetches.withColumns({"x_robots_tag": header("x-robots-tag"), "header_canonical": header_canonical(header("link")), "security_headers": security})
 
 
 def with_header_canonical(pages: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ VALUED_DIRECTIVES = ["max-snippet", "max-image-preview", "max-video-preview", "u
 
 
 def _tokens(value: Column, separators: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(F.lower(value), F.lit("")), separators), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.lower(value), F.lit("")), separators), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def header_directives(header: Column) -> Column:

@@ -7,6 +7,8 @@ carry a watermark; the batch forms below give the same rows over a finished tabl
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,27 +36,43 @@ def row_issues(stream: DataFrame) -> DataFrame:
 
 
 def accumulate(stream: DataFrame, store: str, report: str, checkpoint: str):
-    """Append new pages to a table and renew the relational findings of the crawls they touch, per micro-batch."""
+    """Keep new pages in a table and renew the relational findings of the crawls they touch, per micro-batch.
+
+    Each batch owns one folder of the store and one of the report, named by its number, and replaces what it finds there: a batch that is
+    played again after a failure changes nothing. current_report() gives the findings that hold.
+    """
 
     def renew(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").partitionBy("crawl_id").parquet(store)
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
         touched = batch.select("crawl_id").distinct()
-        known = spark.read.parquet(store).join(touched, "crawl_id", "left_semi")
+        known = spark.read.parquet(store).where(F.col("batch") <= number).drop("batch").join(touched, "crawl_id", "left_semi")
         pages = audit_pages(known)
-        found = checks.duplicate_issues(pages).unionByName(checks.canonical_issues(pages)).unionByName(checks.link_issues(pages))
-        found.withColumn("batch", F.lit(number)).write.mode("append").parquet(report)
+        found = [f(pages) for f in (checks.duplicate_issues, checks.canonical_issues, checks.hreflang_issues, checks.link_issues)]
+        marks = touched.select("crawl_id", *[F.lit(None).cast("string").alias(x) for x in checks.ISSUE if x != "crawl_id"])
+        functools.reduce(DataFrame.unionByName, [marks, *found]).write.mode("overwrite").parquet(f"{report}/batch={number}")
 
     return stream.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_report(spark: SparkSession, report: str) -> DataFrame:
+    """The findings of each crawl from the last batch that touched it (which leaves a row without a check even where it found nothing)."""
+    every = spark.read.parquet(report)
+    last = every.groupBy("crawl_id").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["crawl_id", "batch"], "left_semi").where(F.col("check").isNotNull()).drop("batch")
+
+
 def hourly(events: DataFrame, late: str | None = None) -> DataFrame:
-    """(hour, event_type, events, users, value) in tumbling hours. With late the input is a stream."""
+    """(hour, event_type, events, users, value) in tumbling hours. With late the input is a stream.
+
+    Users are distinct in both forms: events are added up by user first, then users are counted, so a stream carries two aggregations.
+    """
     timed = events.withColumn("at", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("at", late) if late else timed
-    users = F.approx_count_distinct("user_id") if late else F.count_distinct("user_id")
-    counted = timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), users.alias("users"), F.round(F.sum("value"), 4).alias("value"))
-    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "users", "value")
+    by_user = timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type", "user_id").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+    hour = F.window(F.window_time("w"), "1 hour").alias("h")
+    counted = by_user.groupBy(hour, "event_type").agg(F.sum("events").alias("events"), F.count("user_id").alias("users"), F.round(F.sum("value"), 4).alias("value"))
+    return counted.select(F.col("h.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "users", "value")
 
 
 def sessions(events: DataFrame, gap: str = SESSION_GAP, late: str | None = None) -> DataFrame:

@@ -38,9 +38,11 @@ def test_head_closes_at_body_content():
     assert not p["title_in_head"] and p["canonical_source"] is None and p["canonical"] == "https://x.example/c"
 
 
-def test_header_canonical():
-    assert html.header_canonical('<https://a.example/x,y>; rel="canonical", <b>; rel=next') == "https://a.example/x,y"
-    assert html.header_canonical("<a>; rel=next") is None and html.header_canonical(None) is None
+def test_header_canonical(spark):
+    given = ['<https://a.example/x,y>; rel="canonical", <b>; rel=next', "<b>; rel=next, < c >; title=x; REL=canonical", '<d>; rel="next canonical"', "<a>; rel=next", "<e>; rel=canonicals", None]
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(given)], "k int, v string")
+    got = dict(table.select("k", html.header_canonical(F.col("v"))).collect())
+    assert [got[k] for k in range(6)] == ["https://a.example/x,y", "c", "d", None, None, None]
 
 
 def test_parse_pages_gates_errors(spark):
