@@ -30,6 +30,10 @@ class Spark:
     def times(n: int, item: str) -> str:
         return f"transform(sequence(1, {n}), i -> {item})"
 
+    @staticmethod
+    def emptied(array: str) -> str:
+        return f"filter({array}, x -> false)"
+
     @staticmethod
     def cast(value: str, kind: str) -> str:
         return f"cast({value} as {kind})"
@@ -50,6 +54,10 @@ class Duck:
     def times(n: int, item: str) -> str:
         return f"list_transform(range(1, {n + 1}), lambda i: {item})"
 
+    @staticmethod
+    def emptied(array: str) -> str:
+        return f"list_filter({array}, lambda x: false)"
+
     @staticmethod
     def cast(value: str, kind: str) -> str:
         names = {"array<string>": "VARCHAR[]", "boolean": "BOOLEAN", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER"}
@@ -120,7 +128,7 @@ def fields(d) -> dict[str, str]:
             5: d.times(11, script("'https://cdn.example/a.js'", e="true", third="true")), 6: d.times(10, script("'https://cdn.example/a.js'", mod="true", third="true")),
             7: d.array(script("'/b.js'", h="false")),
         }, d.array(script("'/c.js'", a="true"))),
-        "structured_data": case(61, {1: d.array(block("'bad'", d.array())), 2: d.array(block("NULL", d.array("'name'"))), 3: d.array(block("NULL", d.array()))}, f"CASE WHEN page_id % 3 = 0 THEN {d.array(block('NULL', d.array()))} END"),
+        "structured_data": case(61, {1: d.array(block("'bad'", d.array())), 2: d.array(block("NULL", d.array("'name'"))), 3: d.array(block("NULL", d.array())), 4: d.emptied(d.array(block("NULL", d.array())))}, f"CASE WHEN page_id % 3 = 0 THEN {d.array(block('NULL', d.array()))} END"),
         "schema_types": case(61, {2: d.array("'Product'"), 3: d.array("'Product'", "'Offer'")}, d.cast(d.array(), "array<string>")),
         "external_links": case(67, {1: d.times(101, link("'https://far.example/'", "'far'")), 2: d.times(100, link("'https://far.example/'", "'far'")), 6: d.array(link("'http://127.0.0.1:8080/x'", "'x'"))}, "external_links"),
         "internal_links": case(67, {
@@ -139,10 +147,15 @@ LINKED = [
     (12, "/h/fr", 200, None, None, [("fr", "/h/fr"), ("en", "/h/en")]), (13, "/h/code", 200, None, None, [("english", "/h/code"), ("en-UK", "/h/en"), ("pt-BR", "/h/en"), ("zh-Hant-TW", "/h/en"), ("es-419", "/h/en")]),
     (14, "/h/to-gone", 200, None, None, [("en", "/h/to-gone"), ("de", "/c/gone")]), (15, "/h/moved", 200, None, "/h/en", []), (16, "/h/to-moved", 200, None, None, [("en", "/h/to-moved"), ("de", "/h/moved")]),
     (17, "/h/to-hidden", 200, None, None, [("en", "/h/to-hidden"), ("de", "/c/hidden")]), (18, "/h/twice", 200, None, None, [("en", "/h/twice"), ("EN", "/h/en")]),
+    (21, "/t/a", 200, None, None, []), (22, "/t/b", 200, None, None, []),
     (19, "/h/other", 200, None, None, [("en", "/h/en"), ("x-default", "/h/en")]), (20, "/h/disputed", 200, None, None, [("en", "/h/disputed"), ("fr", "/h/en")]),
 ]
 
 
+# Numbers of the linked pages that share title, description and body.
+ALIKE = (21, 22)
+
+
 def _linked_rows(d, base: str = "base") -> str:
     """The list of the linked pages of one crawl; base is its address without a trailing slash."""
     rows = []
@@ -153,6 +166,8 @@ def _linked_rows(d, base: str = "base") -> str:
             alternates = "NULL"
         rows.append(d.struct(
             n=str(number), url=f"{base} || '{path}'", status=str(status), meta_robots=d.cast(text(robots), "string"),
+            title=d.cast("'A shared title'" if number in ALIKE else "NULL", "string"), meta_description=d.cast("repeat('Wide words. ', 20)" if number in ALIKE else "NULL", "string"),
+            body_text=d.cast("'Sorry, page not found.'" if number in ALIKE else "NULL", "string"), word_count="4" if number in ALIKE else "0",
             canonical=d.cast("NULL" if canonical is None else f"{base} || '{canonical}'", "string"), hreflang_tags=alternates,
         ))
     return d.array(*rows)
@@ -171,7 +186,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     crawls = table(spark, sf_dir, "crawls").select("crawl_id", "domain", F.expr(_base()).alias("base"))
     linked = crawls.select("crawl_id", "domain", F.explode(F.expr(_linked_rows(Spark))).alias("p"))
     linked = linked.select(
-        (F.lit(FIRST_LINKED) + F.col("crawl_id") * 100 + F.col("p.n")).alias("page_id"), "crawl_id", "domain", "p.url", "p.status", "p.meta_robots", "p.canonical", "p.hreflang_tags",
+        (F.lit(FIRST_LINKED) + F.col("crawl_id") * 100 + F.col("p.n")).alias("page_id"), "crawl_id", "domain", "p.url", "p.status", "p.meta_robots", "p.canonical", "p.hreflang_tags", "p.title", "p.meta_description", "p.body_text", "p.word_count",
         F.when(F.col("p.canonical").isNotNull(), "html").alias("canonical_source"), F.lit("text/html").alias("content_type"), F.lit(1).alias("depth"),
     )
     both = own.unionByName(linked, allowMissingColumns=True)
@@ -183,7 +198,7 @@ def duck_pages() -> str:
     made = ", ".join(f"{v} AS {k}" for k, v in fields(Duck).items())
     dropped = ", ".join(fields(Duck))
     return f"""derived AS (SELECT * FROM (SELECT * EXCLUDE ({', '.join(c for c in dropped.split(', ') if c in GIVEN)}), {made} FROM (SELECT DISTINCT ON (page_id) * FROM page_data WHERE page_id IS NOT NULL ORDER BY page_id))
-UNION ALL BY NAME SELECT {FIRST_LINKED} + crawl_id * 100 + p.n AS page_id, crawl_id, domain, p.url AS url, p.status AS status, p.meta_robots AS meta_robots, p.canonical AS canonical, p.hreflang_tags AS hreflang_tags,
+UNION ALL BY NAME SELECT {FIRST_LINKED} + crawl_id * 100 + p.n AS page_id, crawl_id, domain, p.url AS url, p.status AS status, p.meta_robots AS meta_robots, p.canonical AS canonical, p.hreflang_tags AS hreflang_tags, p.title AS title, p.meta_description AS meta_description, p.body_text AS body_text, p.word_count AS word_count,
   CASE WHEN p.canonical IS NOT NULL THEN 'html' END AS canonical_source, 'text/html' AS content_type, 1 AS depth
   FROM (SELECT crawl_id, domain, unnest({_linked_rows(Duck, _base())}) AS p FROM crawls))"""
 
