@@ -1,13 +1,13 @@
 """Byte-pair encoding of a corpus inside Spark, by higher-order functions.
 
 A text is split into words by the vocabulary's pattern. A word that is itself a token gets its id from a
-literal map. Every other distinct word of the corpus is encoded once: a fold keeps the word's byte pieces
+literal map. Every other distinct word of the corpus is encoded once: a fold keeps the word's pieces
 and the ranks of all adjacent pairs, merges the pair of lowest rank, and renews the two ranks beside it,
 until no pair has a rank. The ids then go back to the texts by a join on the word.
 
-Ranks come from a literal map of the vocabulary (its size is fixed, about 50,000 entries), spread over
-buckets so that a look-up scans a handful of keys. Bytes stand as the characters of the same number.
-A fold copies its state at every merge, so words beyond LONG_WORD bytes, which no text of a language holds but
+Ranks come from a literal map of the vocabulary's pairs (its size is fixed, about 110,000 entries), spread over
+buckets so that a look-up scans a handful of keys. A piece stands in the fold as one character, that of its id: a fold copies its
+state at every step, and two strings cost less to copy than arrays of bytes. Words beyond LONG_WORD bytes, which no text of a language holds but
 runs of blanks or encoded data do, are merged in the same order with a heap, in Arrow batches. Texts
 beyond BLOCK_WORDS words are encoded in blocks of so many and put together again.
 """
@@ -31,8 +31,11 @@ DEFAULT_VOCABULARY = os.environ.get("PAGESTRATA_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the vocabulary's own split pattern, with Unicode classes switched on for Java.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 16384
-NO_RANK = 1 << 30
-LONG_WORD = 2000
+PAIR_BUCKETS = 32768
+LONG_WORD = 1000
+# The character of id 0; those of all ids lie below the surrogates. EDGE stands around a word, NO_RANK for a pair that is no token.
+FIRST_CHARACTER = 256
+EDGE, NO_RANK = "\ufffc", "\ufffd"
 BLOCK_WORDS = 4096
 
 
@@ -43,18 +46,28 @@ class Vocabulary:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
+        if max(self.ranks.values()) + FIRST_CHARACTER >= 0xD800:
+            raise ValueError("the vocabulary has more ids than there are characters for them")
+
+    def character(self, piece: bytes) -> str:
+        """The character of a piece's id; NO_RANK where it is no token."""
+        return chr(self.ranks[piece] + FIRST_CHARACTER) if piece in self.ranks else NO_RANK
+
     @functools.cached_property
-    def _pieces_json(self) -> str:
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in self.ranks.items():
-            key = piece.decode("latin-1")
-            buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-        return json.dumps(buckets, separators=(",", ":"))
+    def _pairs_json(self) -> str:
+        """By bucket: the character of what two pieces give, for each pair of tokens that together are one."""
+        buckets: list[dict[str, str]] = [{} for _ in range(PAIR_BUCKETS)]
+        for piece in self.ranks:
+            for k in range(1, len(piece)):
+                if piece[:k] in self.ranks and piece[k:] in self.ranks:
+                    pair = self.character(piece[:k]) + self.character(piece[k:])
+                    buckets[zlib.crc32(pair.encode()) % PAIR_BUCKETS][pair] = self.character(piece)
+        return json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
 
     @functools.cached_property
     def _byte_pairs_json(self) -> str:
-        """Rank of each pair of bytes, by first * 256 + second."""
-        return json.dumps([self.ranks.get(bytes((x, y)), NO_RANK) for x in range(256) for y in range(256)], separators=(",", ":"))
+        """Character of each pair of bytes, by first * 256 + second."""
+        return json.dumps([self.character(bytes((x, y))) for x in range(256) for y in range(256)], ensure_ascii=False, separators=(",", ":"))
 
     @functools.cached_property
     def _words_json(self) -> str:
@@ -74,13 +87,13 @@ class Vocabulary:
             pieces[rank] = piece.hex().upper()
         return json.dumps(pieces, separators=(",", ":"))
 
-    def rank_of(self, piece: Column) -> Column:
-        """Rank of a byte piece; NO_RANK for null and where the vocabulary lacks it."""
-        table = F.from_json(F.lit(self._pieces_json), "array<map<string,int>>")
-        return F.coalesce(F.get(table, (F.crc32(piece) % BUCKETS).cast("int"))[piece], F.lit(NO_RANK))
+    def merged(self, pair: Column) -> Column:
+        """Character of what a pair of characters gives; NO_RANK where that is no token."""
+        table = F.from_json(F.lit(self._pairs_json), "array<map<string,string>>")
+        return F.coalesce(F.get(table, (F.crc32(pair) % PAIR_BUCKETS).cast("int"))[pair], F.lit(NO_RANK))
 
-    def rank_of_bytes(self, first: Column, second: Column) -> Column:
-        return F.get(F.from_json(F.lit(self._byte_pairs_json), "array<int>"), first * 256 + second)
+    def merged_bytes(self, first: Column, second: Column) -> Column:
+        return F.get(F.from_json(F.lit(self._byte_pairs_json), "array<string>"), first * 256 + second)
 
     def id_of_word(self, word: Column) -> Column:
         """Id of a word that is one token, else null."""
@@ -105,48 +118,36 @@ def _let(value: Column, body) -> Column:
 def merged_ids(word: Column, vocab: Vocabulary) -> Column:
     """Token ids of one word by a fold of ranked merges over its byte array.
 
-    The state holds the byte pieces between two nulls, and the rank of each adjacent pair (none beside a null). Each step
-    merges the leftmost pair of lowest rank and ranks the two pairs beside it; without any ranked pair it leaves the
-    state as it is. The last step ranks the pieces themselves: these ranks are the ids. The rank map stands in
-    the expression once, as a plan carries each copy of a literal along.
+    The state holds the pieces between two edges, and what each adjacent pair would give, both as strings of id characters: their order is
+    that of the ranks. Each step merges the leftmost pair of lowest rank and looks up the two pairs beside it; without
+    any ranked pair it leaves the state as it is. The pair map stands in the expression once, as a plan carries each copy of a literal along.
     """
     bytes_of = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    count = F.octet_length(word)
-    nothing = F.array(F.lit(None).cast("string"))
-    characters = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(bytes_of, i, F.lit(1)))
+    every = [bytes([b]) for b in range(256)]
+    pieces = F.translate(bytes_of, "".join(map(chr, range(256))), "".join(map(vocab.character, every)))
 
-    def start(pieces: Column) -> Column:
-        def ranked(codes: Column) -> Column:
-            pairs = F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), lambda x, i: vocab.rank_of_bytes(x, F.get(codes, i + 1)))
-            return F.struct(F.concat(nothing, pieces, nothing).alias("parts"), F.concat(F.array(F.lit(NO_RANK)), pairs, F.array(F.lit(NO_RANK))).alias("ranks"))
-
-        return _let(F.transform(pieces, F.ascii), ranked)
+    def start(codes: Column) -> Column:
+        pairs = F.transform(F.slice(codes, F.lit(1), F.size(codes) - 1), lambda x, i: vocab.merged_bytes(x, F.get(codes, i + 1)))
+        return F.struct(F.concat(F.lit(EDGE), pieces, F.lit(EDGE)).alias("pieces"), F.concat(F.lit(NO_RANK), F.array_join(pairs, ""), F.lit(NO_RANK)).alias("gives"))
 
     def step(state: Column, k: Column) -> Column:
-        parts, ranks = state["parts"], state["ranks"]
-
-        def at(place: Column) -> Column:
-            """place: 0 in the last step, -1 where nothing is left to merge, else that of the pair."""
-
-            def merge(joined: Column) -> Column:
-                beside = F.array(F.concat(F.get(parts, place - 2), joined), F.concat(joined, F.get(parts, place + 1)))
-                asked = F.when(place == 0, parts).when(place > 0, beside).otherwise(F.slice(parts, 1, 0))
-
-                def renew(fresh: Column) -> Column:
-                    merged = F.struct(
-                        F.concat(F.slice(parts, F.lit(1), place - 1), F.array(joined), F.slice(parts, place + 2, F.size(parts))).alias("parts"),
-                        F.concat(F.slice(ranks, F.lit(1), place - 2), fresh, F.slice(ranks, place + 2, F.size(ranks))).alias("ranks"),
-                    )
-                    return F.when(place > 0, merged).when(place == 0, F.struct(parts.alias("parts"), fresh.alias("ranks"))).otherwise(state)
+        pieces, gives = state["pieces"], state["gives"]
+        rest = F.lit(1 << 30)
 
-                return _let(F.transform(asked, vocab.rank_of), renew)
+        def at(best: Column) -> Column:
+            def merge(place: Column) -> Column:
+                beside = F.array(F.concat(F.substring(pieces, place - 1, F.lit(1)), best), F.concat(best, F.substring(pieces, place + 2, F.lit(1))))
+                return F.struct(
+                    F.concat(F.substring(pieces, F.lit(1), place - 1), best, F.substring(pieces, place + 2, rest)).alias("pieces"),
+                    F.concat(F.substring(gives, F.lit(1), place - 2), F.array_join(F.transform(beside, vocab.merged), ""), F.substring(gives, place + 2, rest)).alias("gives"),
+                )
 
-            return _let(F.concat(F.get(parts, place - 1), F.get(parts, place)), merge)
+            return F.when(best < F.lit(NO_RANK), _let(F.instr(gives, best), merge)).otherwise(state)
 
-        lowest = lambda best: F.when(k == count, 0).when(best < NO_RANK, F.array_position(ranks, best).cast("int")).otherwise(-1)
-        return _let(_let(F.array_min(ranks), lowest), at)
+        return _let(F.array_min(F.split(gives, "")), at)
 
-    return F.aggregate(F.sequence(F.lit(1), count), _let(characters, start), step, lambda state: F.filter(state["ranks"], lambda r: r < NO_RANK))
+    ids = lambda state: F.transform(F.split(F.substring(state["pieces"], F.lit(2), F.char_length(state["pieces"]) - 2), ""), lambda c: F.ascii(c) - FIRST_CHARACTER)
+    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), _let(F.transform(F.split(bytes_of, ""), F.ascii), start), step, ids)
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
