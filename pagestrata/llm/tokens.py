@@ -36,7 +36,7 @@ LONG_WORD = 1000
 # The character of id 0; those of all ids lie below the surrogates. EDGE stands around a word, NO_RANK for a pair that is no token.
 FIRST_CHARACTER = 256
 EDGE, NO_RANK = "\ufffc", "\ufffd"
-BLOCK_WORDS = 4096
+BLOCK_WORDS = 32768
 
 
 class Vocabulary:
@@ -205,7 +205,7 @@ def encode_corpus(documents: DataFrame, vocab: Vocabulary, id_column: str = "doc
     words = documents.select(*kept, F.col(id_column).alias("__id"), F.monotonically_increasing_id().alias("__row"), _words(documents, text_column).alias("__all"))
     parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("__all") - 1) / BLOCK_WORDS).cast("int")))
     words = words.select(*kept, "__id", "__row", (F.size("__all") > BLOCK_WORDS).alias("__long"), "__all", F.explode(parts).alias("__block"))
-    words = words.select(*kept, "__id", "__row", "__long", "__block", F.slice("__all", F.col("__block") * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS)).alias("__words"))
+    words = words.select(*kept, "__id", "__row", "__long", "__block", F.when(F.col("__long"), F.slice("__all", F.col("__block") * BLOCK_WORDS + 1, F.lit(BLOCK_WORDS))).otherwise(F.col("__all")).alias("__words"))
     words = words.withColumn("__known", F.transform("__words", vocab.id_of_word))
     words = words.withColumn("__rare", F.array_distinct(F.filter("__words", lambda w, i: F.get(F.col("__known"), i).isNull())))
     codes = F.transform("__known", lambda c, i: F.coalesce(c, -F.array_position(F.col("__rare"), F.get(F.col("__words"), i)).cast("int")))

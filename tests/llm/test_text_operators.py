@@ -48,7 +48,7 @@ def test_long_words_and_long_texts(spark):
     vocab = tokens.vocabulary()
     library = tiktoken.Encoding("own", pat_str=tokens.SPLIT.removeprefix("(?U)"), mergeable_ranks=vocab.ranks, special_tokens={})
     rng = random.Random(8)
-    texts = ["x" * 1_000_000, "".join(rng.choice("ABCDefgh") for _ in range(300_000)), f"{PROSE}xqzzy " * 2000, PROSE]
+    texts = ["x" * 1_000_000, "".join(rng.choice("ABCDefgh") for _ in range(300_000)), f"{PROSE}xqzzy " * 5000, PROSE]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.ids for r in tokens.encode_corpus(table, vocab).collect()}
     pieces = {i: piece for piece, i in vocab.ranks.items()}
