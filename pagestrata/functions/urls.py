@@ -27,18 +27,13 @@ def norm_url(url: Column) -> Column:
     capitals, no trailing slash except for the root path.
     """
     text = F.trim(url)
-    scheme = F.lower(F.regexp_extract(text, _HEAD, 1))
-    host = F.lower(F.regexp_extract(text, _HEAD, 2))
-    port = F.when(scheme == "https", ":443").when(scheme == "http", ":80").otherwise(":")
-    host = F.when(host.endswith(port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
-    rest = F.substring_index(F.regexp_replace(text, _HEAD, ""), "#", 1)
-    path = F.substring_index(rest, "?", 1)
-    query = F.substring(rest, F.length(path) + 2, F.lit(1 << 30))
-    path = F.when(path == "", "/").otherwise(path)
-    pairs = F.when(query.contains("&"), F.array_join(F.array_sort(F.split(query, "&")), "&")).otherwise(query)
-    full = F.concat(path, F.when(rest.contains("?") & (query != ""), F.concat(F.lit("?"), pairs)).otherwise(F.when(rest.contains("?"), "?").otherwise("")))
-    cut = F.when((path != "/") & full.endswith("/"), F.substring(full, F.lit(1), F.length(full) - 1)).otherwise(full)
-    return F.when(text.rlike(_HEAD), F.concat(scheme, F.lit("://"), host, _without_escapes_case(cut))).otherwise(url)
+    # Each step is one replacement, so that the expression stays small wherever it is put.
+    head = F.regexp_replace(F.lower(F.regexp_extract(text, _HEAD, 0)), r"(?s)^(https://.*):443\z|^(http://.*):80\z|^((?!https?:).*):\z", "$1$2$3")
+    rest = F.regexp_replace(F.regexp_replace(text, _HEAD + "|(?s:#.*)", ""), r"^(?=\?|\z)", "/")
+    pairs = F.array_sort(F.split(F.regexp_extract(rest, r"(?s)\?(.*)\z", 1), "&"))
+    full = F.when(rest.rlike(r"(?s)\?.*&"), F.concat(F.substring_index(rest, "?", 1), F.lit("?"), F.array_join(pairs, "&"))).otherwise(rest)
+    cut = F.regexp_replace(full, r"(?s)^(?!/(?:\?|\z))(.+)/\z", "$1")
+    return F.when(head != "", F.concat(head, _without_escapes_case(cut))).otherwise(url)
 
 
 def host_of(url: Column) -> Column:

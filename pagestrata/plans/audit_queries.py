@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import text, urls
 from pagestrata.operators import checks, graph, relations, scoring, surface
-from pagestrata.runtime import table, written
+from pagestrata.runtime import spread, table, written
 from pagestrata.sources.sitemaps import listed_urls
 from pagestrata.sources.snapshots import audit_pages
 from pagestrata.streaming import streams
@@ -15,13 +15,15 @@ from pagestrata.streaming import streams
 c = F.col
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_pages(table(spark, sf_dir, "page_data"))
+def pages(spark: SparkSession, sf_dir: str, crawl_id: int | None = None) -> DataFrame:
+    """Audited pages of all crawls, or of one: that filter reaches the scan."""
+    given = table(spark, sf_dir, "page_data")
+    return audit_pages(spread(given if crawl_id is None else given.where(c("crawl_id") == crawl_id)))
 
 
-def issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def issues(spark: SparkSession, sf_dir: str, crawl_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pages and all their findings; both are written once, as reports read them several times."""
-    p = written(pages(spark, sf_dir).drop("body_text"), "audit-pages")
+    p = written(pages(spark, sf_dir, crawl_id).drop("body_text"), "audit-pages")
     return p, written(checks.page_issues(p), "audit-issues")
 
 
@@ -99,7 +101,7 @@ def top_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of warnings about the shop section of crawl 1."""
-    p, found = issues(spark, sf_dir)
+    p, found = issues(spark, sf_dir, crawl_id=1)
     return surface.query(p, found, surface.Query(1, url_pattern="*/shop/*", severity="warning", urls_per_issue=500)).drop("detail")
 
 
@@ -149,6 +151,22 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.csv_rows(pages(spark, sf_dir))
 
 
+def crawl_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed answer about each crawl, its lists as text."""
+    a = surface.crawl_answer(*issues(spark, sf_dir))
+    shown = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), "|")
+    return a.withColumns({"top_categories": shown("top_categories", "category", "found", "urls"), "worst_pages": shown("worst_pages", "url_key", "total")})
+
+
+def score_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.score_changes(*issues(spark, sf_dir), table(spark, sf_dir, "crawls"))
+
+
+def list_crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of stored crawls, newest first (a page of 20, as the listing is asked for)."""
+    return surface.list_crawls(table(spark, sf_dir, "crawls")).select("crawl_id", "domain", "crawl_date", "pages_crawled")
+
+
 def page_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.page_issue_counts(*issues(spark, sf_dir))
 
@@ -195,6 +213,9 @@ QUERIES = {
     "reading_scores": reading_scores,
     "sitemap_urls": sitemap_urls,
     "csv_export": csv_export,
+    "crawl_answer": crawl_answer,
+    "score_changes": score_changes,
+    "list_crawls": list_crawls,
     "events_hourly": events_hourly,
     "events_sessions": events_sessions,
 }

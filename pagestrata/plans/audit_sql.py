@@ -223,6 +223,7 @@ SELECT category, "check", url_key, CASE WHEN bool_and(latest) THEN 'new' ELSE 'r
 keyed AS (SELECT DISTINCT crawl_id, category, "check", url_key FROM served),
 before AS (SELECT crawl_a, crawl_b, category, "check", url_key FROM pairs JOIN keyed ON crawl_id = crawl_a), after AS (SELECT crawl_a, crawl_b, category, "check", url_key FROM pairs JOIN keyed ON crawl_id = crawl_b)
 SELECT *, 'new' AS change FROM (SELECT * FROM after EXCEPT SELECT * FROM before) UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM before EXCEPT SELECT * FROM after)""",
+    "list_crawls": "SELECT crawl_id, domain, crawl_date, pages_crawled FROM crawls ORDER BY crawl_date DESC NULLS LAST, crawl_id DESC LIMIT 20",
     "crawl_summary": f"""{BASE} SELECT crawl_id, count(*) AS pages, floor(sum(response_time_ms) / count(*))::BIGINT AS mean_response_ms, sum(word_count)::BIGINT AS words, floor(sum(word_count) / count(*))::BIGINT AS mean_words,
   sum(coalesce(len(internal_links), 0))::BIGINT AS internal_links, sum(coalesce(len(external_links), 0))::BIGINT AS external_links, sum(coalesce(len(images), 0))::BIGINT AS images,
   sum(coalesce(len(list_filter(images, lambda i: i.alt IS NULL AND {NEEDS_ALT})), 0))::BIGINT AS images_without_alt, 0::BIGINT AS pages_with_schema, floor(quantile_cont(response_time_ms, 0.5))::BIGINT AS p50_response_ms, quantile_disc(response_time_ms, 0.95)::BIGINT AS p95_response_ms FROM q GROUP BY crawl_id""",
@@ -251,3 +252,17 @@ SELECT crawl_id, ((row_number() OVER w - 1) // 50000)::INTEGER AS file_no, (row_
     "events_sessions": """WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM m) SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events FROM n GROUP BY user_id, no""",
 }
+
+# Answers composed of the ones above, written as joins of them.
+_PART = lambda name: f"({ORACLE[name]})"
+ORACLE["crawl_answer"] = f"""SELECT s.crawl_id, s.score, s.grade, s.verdict, m.pages, m.mean_response_ms, m.p50_response_ms, m.p95_response_ms, coalesce(t.total, 0)::BIGINT AS total, coalesce(t.critical, 0)::BIGINT AS critical, coalesce(t.warning, 0)::BIGINT AS warning,
+  coalesce(t.info, 0)::BIGINT AS info, k.top_categories, w.worst_pages FROM {_PART("health_score")} s JOIN {_PART("crawl_summary")} m USING (crawl_id)
+LEFT JOIN (SELECT crawl_id, sum(found) AS total, sum(found) FILTER (severity = 'critical') AS critical, sum(found) FILTER (severity = 'warning') AS warning, sum(found) FILTER (severity = 'info') AS info FROM {_PART("severity_totals")} GROUP BY ALL) t USING (crawl_id)
+LEFT JOIN (SELECT crawl_id, string_agg(category || ':' || found || ':' || urls, '|' ORDER BY found DESC, category) AS top_categories FROM (SELECT * FROM {_PART("category_summary")} QUALIFY row_number() OVER (PARTITION BY crawl_id ORDER BY found DESC, category) <= 10) GROUP BY ALL) k USING (crawl_id)
+LEFT JOIN (SELECT crawl_id, string_agg(url_key || ':' || total, '|' ORDER BY total DESC, url_key) AS worst_pages FROM {_PART("worst_pages")} GROUP BY ALL) w USING (crawl_id)"""
+ORACLE["score_changes"] = f"""{WITH_ISSUES}, {SERVED}, pairs AS (SELECT * FROM (SELECT crawl_id AS crawl_a, lead(crawl_id) OVER (PARTITION BY site_id ORDER BY crawl_date NULLS FIRST, crawl_id) AS crawl_b FROM crawls WHERE site_id IS NOT NULL) WHERE crawl_b IS NOT NULL),
+keyed AS (SELECT DISTINCT crawl_id, "check", url_key FROM served), was AS (SELECT crawl_a, crawl_b, "check", url_key FROM pairs JOIN keyed ON crawl_id = crawl_a), now AS (SELECT crawl_a, crawl_b, "check", url_key FROM pairs JOIN keyed ON crawl_id = crawl_b),
+fresh AS (SELECT crawl_a, crawl_b, count(*) AS new_issues, count(DISTINCT url_key) AS regressed_urls FROM (SELECT * FROM now EXCEPT SELECT * FROM was) GROUP BY ALL), gone AS (SELECT crawl_a, crawl_b, count(*) AS resolved_issues FROM (SELECT * FROM was EXCEPT SELECT * FROM now) GROUP BY ALL),
+s AS (SELECT * FROM {_PART("health_score")})
+SELECT p.crawl_a, p.crawl_b, a.score AS score_from, a.grade AS grade_from, b.score AS score_to, b.grade AS grade_to, b.score - a.score AS score_delta, coalesce(new_issues, 0) AS new_issues, coalesce(resolved_issues, 0) AS resolved_issues, coalesce(regressed_urls, 0) AS regressed_urls
+FROM pairs p JOIN s a ON a.crawl_id = p.crawl_a JOIN s b ON b.crawl_id = p.crawl_b LEFT JOIN fresh f ON f.crawl_a = p.crawl_a AND f.crawl_b = p.crawl_b LEFT JOIN gone g ON g.crawl_a = p.crawl_a AND g.crawl_b = p.crawl_b"""
