@@ -245,26 +245,28 @@ def _issue(df: DataFrame, category: str, check: str, detail: Column | None = Non
     )
 
 
-def _shared(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose (crawl_id, key) stands on two rows or more: groups are counted first and met in a join, so a
-    value that most pages share is never gathered in one place."""
-    counts = df.groupBy("crawl_id", key).agg(F.count("*").alias("shared_by")).where("shared_by > 1")
-    return df.join(counts, ["crawl_id", key])
+def duplicate_issues(pages: DataFrame) -> DataFrame:
+    """Titles, descriptions, first and second level headings and contents that several pages share.
 
+    All kinds of values go through one count and one join: values are counted first and met in the join, so one that most pages
+    share is never gathered in one place.
+    """
 
-def duplicate_issues(pages: DataFrame) -> DataFrame:
-    """Titles, descriptions, first and second level headings and contents that several pages share."""
-    index = pages.where("indexable")
-    shared = F.concat(F.lit("shared by "), c("shared_by").cast("string"), F.lit(" pages"))
-    title = _issue(_shared(index.where(F.length("title") > 0).select("crawl_id", "url", "title"), "title"), "page_titles", "duplicate", shared)
-    description = _issue(_shared(index.where(F.length("meta_description") > 0).select("crawl_id", "url", "meta_description"), "meta_description"), "meta_description", "duplicate", shared)
-    h1 = index.select("crawl_id", "url", F.get("h1", 0).alias("first")).where(F.length("first") > 0)
-    h2 = index.select("crawl_id", "url", F.explode(F.array_distinct(F.transform(F.filter("headings", lambda h: (h["level"] == 2) & (h["text"] != "")), lambda h: h["text"]))).alias("h2"))
-    body = index.where(c("redirect_chain").isNull() & c("has_body") & (c("content_hash") != "") & (c("word_count") > 0)).select("crawl_id", "url", "content_hash")
-    return functools.reduce(
-        DataFrame.unionByName,
-        [title, description, _issue(_shared(h1, "first"), "headings", "h1_duplicate", shared), _issue(_shared(h2, "h2"), "headings", "h2_duplicate", c("h2")), _issue(_shared(body, "content_hash"), "content", "exact_duplicate", shared)],
-    )
+    def value(category: str, check: str, column: Column) -> Column:
+        return F.struct(F.lit(category).alias("category"), F.lit(check).alias("check"), F.lit(SEVERITY[category, check]).alias("severity"), column.alias("value"))
+
+    own = F.when(c("redirect_chain").isNull() & c("has_body") & (c("word_count") > 0), c("content_hash"))
+    single = [
+        value("page_titles", "duplicate", c("title")), value("meta_description", "duplicate", c("meta_description")),
+        value("headings", "h1_duplicate", F.get("h1", 0)), value("content", "exact_duplicate", own),
+    ]
+    h2 = F.array_distinct(F.transform(F.filter(F.coalesce("headings", F.array()), lambda h: h["level"] == 2), lambda h: h["text"]))
+    every = F.filter(F.concat(F.array(*single), F.transform(h2, lambda x: value("headings", "h2_duplicate", x))), lambda v: F.length(v["value"]) > 0)
+    rows = pages.where("indexable").select("crawl_id", "url", F.explode(every).alias("v")).select("crawl_id", "url", "v.*")
+    key = ["crawl_id", "category", "check", "severity", "value"]
+    shared = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    detail = F.when(c("check") == "h2_duplicate", c("value")).otherwise(F.concat(F.lit("shared by "), c("n").cast("string"), F.lit(" pages")))
+    return rows.join(shared, key).select(*ISSUE[:-1], detail.alias("detail"))
 
 
 def canonical_issues(pages: DataFrame) -> DataFrame:
