@@ -70,10 +70,11 @@ def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, s
     epochs = F.when(F.col("tokens") > 0, F.col("quota") / F.col("tokens")).otherwise(0.0)
     plan = written(plan.withColumn("whole", F.floor(epochs + 1e-12).cast("int")).withColumn("rest", F.greatest(F.col("quota") - F.col("whole") * F.col("tokens"), F.lit(0.0))), "mixture-plan")
     running = Window.partitionBy("source").orderBy("bucket")
-    edges = by_bucket.join(F.broadcast(plan.select("source", "whole", "rest")), "source").withColumn("upto", F.sum("bucket_size").over(running))
+    edges = by_bucket.join(plan.select("source", "whole", "rest"), "source").withColumn("upto", F.sum("bucket_size").over(running))
     edges = edges.select("source", "bucket", "whole", (F.col("upto") <= F.col("rest")).alias("all_in"), (F.col("rest") - (F.col("upto") - F.col("bucket_size"))).alias("left"))
-    # At most sources x BUCKETS rows: bounded by the targets table, whatever the corpus.
-    placed = sized.join(F.broadcast(edges), ["source", "bucket"])
+    # At most sources x BUCKETS rows. Nothing bounds the targets table, so whether they are broadcast is left to their size; otherwise a
+    # source that holds most documents meets them in BUCKETS parts.
+    placed = sized.join(edges, ["source", "bucket"])
     sure = placed.where(F.col("all_in") | (F.col("left") <= 0)).select("doc_id", "source", "size", (F.col("whole") + F.col("all_in").cast("int")).alias("copies"))
     inner = Window.partitionBy("source", "bucket").orderBy("unit", "doc_id")
     edge = placed.where(~F.col("all_in") & (F.col("left") > 0)).withColumn("upto", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))

@@ -30,6 +30,10 @@ ROUNDS = 3
 POOL_WEIGHT = 30.0
 # At sf0.1 the farthest prose lies at 5.1, the nearest junk at 8.5.
 CUTOFF = 6.5
+# A line of so many words is as long as any: texts without line breaks are no less prose. Distinct words are counted by blocks, as their
+# share falls with a text's length.
+LONG_LINE = 100
+BLOCK = 100
 # Smallest spread of each statistic, so that a corpus of equal texts keeps a usable covariance.
 FLOOR = [0.04, 0.2, 0.03, 0.03, 0.4, 0.6, 0.08, 0.08, 0.08]
 
@@ -44,6 +48,17 @@ def declared_language(value: str | None) -> str | None:
     return LANGUAGE_BY_NAME.get((value or "").strip().lower())
 
 
+def _distinct_ratio(tokens: list[str]) -> float:
+    """Logarithm of the distinct tokens over that of all, in blocks of BLOCK tokens, weighted by their lengths."""
+    total = weight = 0.0
+    for start in range(0, len(tokens), BLOCK):
+        block = tokens[start : start + BLOCK]
+        if len(block) > 1:
+            total += len(block) * math.log(len(set(block))) / math.log(len(block))
+            weight += len(block)
+    return total / weight if weight else 1.0
+
+
 def text_statistics(text: str, declared: str | None = None) -> tuple[str, int, list[float]] | None:
     """(language, words, the statistics) of one text; None where it is blank."""
     if not text or text.isspace():
@@ -99,9 +114,9 @@ def text_statistics(text: str, declared: str | None = None) -> tuple[str, int, l
         max(0.0, (packed - letters - digits) / packed),
         digits / packed,
         ended / total,
-        math.log1p(n / len(lines)),
+        math.log1p(min(n / len(lines), LONG_LINE)),
         marked / total,
-        math.log(max(1, len(set(tokens)))) / math.log(n) if n > 1 else 1.0,
+        _distinct_ratio(tokens),
         running / total,
     ]
 
