@@ -99,13 +99,25 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.csv_rows(pages(spark, sf_dir))
 
 
-def rendered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as rendered against a static form without every third title, fifth description, seventh heading and second canonical."""
-    rendered = pages(spark, sf_dir)
+def _static(rendered: DataFrame) -> DataFrame:
+    """A static form without every third title, fifth description, seventh heading, second canonical, fourth schema and sixth word count."""
     static = rendered
     for column, of in (("title", 3), ("meta_description", 5), ("h1", 7), ("canonical", 2), ("schema_types", 4), ("word_count", 6)):
         static = static.withColumn(column, F.when(c("page_id") % of != 0, c(column)))
-    return surface.merge_rendered(static, rendered).select("page_id", "url", *[f"js_injected_{x}" for x in ("title", "description", "canonical", "h1", "structured_data")], "words_gained")
+    return static
+
+
+def render_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static and rendered form of each page side by side; both have the findings of the rendered one."""
+    rendered = pages(spark, sf_dir)
+    found = checks.row_issues(rendered)
+    return surface.render_deltas(_static(rendered), rendered, found, found)
+
+
+def rendered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as rendered against their static form."""
+    rendered = pages(spark, sf_dir)
+    return surface.merge_rendered(_static(rendered), rendered).select("page_id", "url", *[f"js_injected_{x}" for x in ("title", "description", "canonical", "h1", "structured_data")], "words_gained")
 
 
 def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +125,7 @@ def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.health_score(p, written(checks.page_issues(p), "audit-issues"))
 
 
-QUERIES = {f"derived_{f.__name__}": f for f in (row_checks, row_details, duplicates, canonical_checks, hreflang_checks, sitemap_checks, robots_checks, cwv_summary, summary, csv_export, rendered_merge, health_score)}
+QUERIES = {f"derived_{f.__name__}": f for f in (row_checks, row_details, duplicates, canonical_checks, hreflang_checks, sitemap_checks, robots_checks, cwv_summary, summary, csv_export, rendered_merge, render_deltas, health_score)}
 
 # The SQL: the same table, and its own account of each check.
 # Robots headers: agents before a colon are dropped, valued directives stay whole.
@@ -235,5 +247,10 @@ SELECT crawl_id, count(performance_score) AS tested, count(*) FILTER (performanc
     "derived_summary": AUDIT["crawl_summary"].replace(AUDIT_BASE, BASE).replace("0::BIGINT AS pages_with_schema", f"count(*) FILTER ({_SIZE('schema_types')} > 0) AS pages_with_schema"),
     "derived_csv_export": f"{BASE} SELECT crawl_id, {csv_columns({})} FROM q",
     "derived_rendered_merge": f"{BASE} SELECT page_id, url, {', '.join(f'coalesce({v}, false) AS js_injected_{k}' for k, v in _LACKED.items())}, CASE WHEN page_id % 6 = 0 THEN coalesce(word_count, 0) ELSE 0 END AS words_gained FROM q WHERE status BETWEEN 200 AND 399",
+    "derived_render_deltas": f"""{BASE}, {ROW_ISSUES}, n AS (SELECT crawl_id, url, count(*) AS n FROM row_issues WHERE url IS NOT NULL GROUP BY ALL),
+m AS (SELECT q.crawl_id, q.url, unnest([{{'m': 'title', 'r': (title IS NOT NULL)::BIGINT, 'k': 3}}, {{'m': 'meta_description', 'r': (meta_description IS NOT NULL)::BIGINT, 'k': 5}}, {{'m': 'word_count', 'r': coalesce(word_count, 0)::BIGINT, 'k': 6}},
+  {{'m': 'internal_links', 'r': {_SIZE('internal_links')}, 'k': 0}}, {{'m': 'external_links', 'r': {_SIZE('external_links')}, 'k': 0}}, {{'m': 'images', 'r': {_SIZE('images')}, 'k': 0}}, {{'m': 'schema_types', 'r': {_SIZE('schema_types')}, 'k': 4}},
+  {{'m': 'h1', 'r': {_SIZE('h1')}, 'k': 7}}, {{'m': 'issues', 'r': coalesce(n, 0), 'k': 0}}]) AS x, page_id FROM q LEFT JOIN n ON n.crawl_id = q.crawl_id AND n.url = q.url)
+SELECT crawl_id, url, x.m AS metric, CASE WHEN x.k > 0 AND page_id % greatest(x.k, 1) = 0 THEN 0 ELSE x.r END AS static, x.r AS rendered, x.r - CASE WHEN x.k > 0 AND page_id % greatest(x.k, 1) = 0 THEN 0 ELSE x.r END AS delta FROM m""",
     "derived_health_score": AUDIT["health_score"].replace(WITH_ISSUES, WITH_DERIVED_ISSUES),
 }

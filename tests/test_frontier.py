@@ -31,3 +31,17 @@ def test_views_and_inspect(spark, sf_dir):
     url = found.where("url is not null").orderBy("url").first().url
     assert {r.url for r in surface.inspect(pages, found, url).collect()} >= {url}
     assert frontier.sample_pages(pages, 2).groupBy("crawl_id").count().where("count > 2").count() == 0
+
+
+def test_command_line(spark, sf_dir, capsys):
+    from pagestrata.__main__ import main
+
+    pages = f"{sf_dir}/page_data.parquet"
+    main(["crawls", f"{sf_dir}/crawls.parquet", "--limit", "3"])
+    main(["summary", pages])
+    first = table(spark, sf_dir, "page_data").where("status = 404").select("crawl_id", "url").first()
+    main(["inspect", pages, "--crawl", str(first.crawl_id), "--url", first.url])
+    main(["issues", pages, "--crawl", str(first.crawl_id), "--severity", "critical"])
+    main(["compare", pages, "--baseline", str(first.crawl_id), "--current", str(first.crawl_id)])
+    shown = capsys.readouterr().out
+    assert shown.count("internal_client_error") >= 2 and "p95_response_ms" in shown and "crawl_date" in shown
